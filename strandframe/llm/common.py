@@ -74,3 +74,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
 def ids_type(df: DataFrame, column: str = "doc_id") -> str:
     """The SQL type of an id column, as it is written into the schemas of Python operators."""
     return df.schema[column].dataType.simpleString()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

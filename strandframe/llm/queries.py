@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bpe_automaton, media, packing, token_planes, tokens
+from pyspark.sql import functions as F
+
+from strandframe.llm import bpe_automaton, media, packing, simhash, suffix_dedup, token_planes, tokens
 from strandframe.llm.common import scratch_path, table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_planes(spark, sf_dir):
     return token_planes.write_and_read(table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"), scratch_path(spark, "planes"))
 
 
+def op3_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_media_columns(spark, sf_dir):
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -23,7 +34,9 @@ def op9_bpe_automaton(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_planes": op2_token_planes,
+    "op3_simhash": op3_simhash,
     "op6_media_columns": op6_media_columns,
     "op8_packing": op8_packing,
     "op9_bpe_automaton": op9_bpe_automaton,
