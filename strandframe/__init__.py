@@ -1,0 +1,5 @@
+"""Sequencing-read analytics on Spark DataFrames."""
+
+from strandframe.schema import Meta, ReadSet
+
+__all__ = ["Meta", "ReadSet"]
