@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 import shutil
 from dataclasses import dataclass
 
@@ -97,10 +98,16 @@ def plan_jobs(inputs: list[str], output: str | None = None, variant: str | None
 
 
 def run(spark: SparkSession, jobs: list[Job], meta: Meta, policy: str = "r", given_format: str | None = None) -> dict[str, dict]:
-    """Runs jobs one after the other, each on all tasks. With several, a failing one is logged, its output removed, and the rest go on."""
+    """Runs jobs one after the other, each on all tasks. With several, a failing one is logged, its output removed, and the rest go on.
+
+    An output that is there already is an error, and stays.
+    """
     out = {}
     for job in jobs:
+        there = os.path.exists(job.output)
         try:
+            if there:
+                raise ValueError(f"{job.output!r} is there already")
             df = load(spark, list(job.inputs), job.kind, given_format)
             fasta = "s_qual" in df.columns and not df.where("s_qual is not null").limit(1).count()
             own = meta.with_(paired=job.kind != "single", quality=meta.quality and not fasta)
@@ -109,7 +116,8 @@ def run(spark: SparkSession, jobs: list[Job], meta: Meta, policy: str = "r", giv
             written = spark.read.parquet(job.output.rstrip("/") + "/data").count()
             out[job.output] = {"written": written, "skipped": n - written}
         except Exception:
-            shutil.rmtree(job.output, ignore_errors=True)
+            if not there:
+                shutil.rmtree(job.output, ignore_errors=True)
             if len(jobs) == 1:
                 raise
             log.exception("%s failed", job.inputs)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq as fn
+from strandframe.functions.fuzzy import matches
 from strandframe.plans.matching import Plan, Search, in_span, plan
 from strandframe.schema import is_paired
 
@@ -74,10 +77,6 @@ def pattern_counts(df: DataFrame, s: Search, many: int = MANY) -> DataFrame:
 
 def _regex_spans(column: Column, text: str, shift: int) -> Column:
     """Places of a regular expression that don't overlap."""
-    import re
-
-    import pandas as pd
-
     compiled = re.compile(text)
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
@@ -88,10 +87,6 @@ def _regex_spans(column: Column, text: str, shift: int) -> Column:
 
 
 def _fuzzy_spans(column: Column, text: str, how, shift: int) -> Column:
-    import pandas as pd
-
-    from strandframe.functions.fuzzy import matches
-
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a + shift, "b": b + shift} for a, b, _ in x] for x in matches(texts.fillna("").tolist(), text, how)])

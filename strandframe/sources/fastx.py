@@ -128,7 +128,7 @@ def first_record(source, start: int, end: int) -> int | None:
     if start == 0:
         return 0
     source.seek(0)
-    fasta = source.read(1) == b">"
+    fasta = source.read(1 << 16).lstrip()[:1] == b">"
     source.seek(start - 1)
     stream = io.BufferedReader(_Raw(source), 1 << 18)
     at = start - 1 + len(stream.readline())  # the rest of a line, or only its line feed
