@@ -61,8 +61,8 @@ def _by_words(df: DataFrame, p: Plan) -> DataFrame:
         hits = each.join(table, "word").groupBy("pid").agg(F.count("*").alias("n"))
         found = hits if found is None else found.union(hits)
     names = spark.createDataFrame([(k, x.alias) for k, x in enumerate(p.patterns)], "pid int, name string")
-    total = df.agg(F.count("*").alias("total"))
-    return names.join(found, "pid", "left").select("pid", "name", F.coalesce("n", F.lit(0)).alias("n")).join(F.broadcast(total))
+    total = df.agg(F.count("*")).scalar()
+    return names.join(found, "pid", "left").select("pid", "name", F.coalesce("n", F.lit(0)).alias("n"), total.alias("total"))
 
 
 def pattern_counts(df: DataFrame, s: Search, many: int = MANY) -> DataFrame:

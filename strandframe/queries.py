@@ -206,9 +206,9 @@ def _(df):
     return transform.decode(df.withColumn("x_qual", F.lit(None).cast("string")), "fastq", "2")
 
 
-@_query("decode_fastq", "SELECT idx, CAST(1 AS INTEGER) AS mate, concat('@', s_header, chr(10), s_seq, chr(10), '+', chr(10), s_qual) AS record FROM reads WHERE idx < 1000")
+@_query("decode_fastq", "SELECT idx, CAST(1 AS INTEGER) AS mate, concat('@', s_header, chr(10), s_seq, chr(10), '+', chr(10), s_qual) AS record FROM reads")
 def _(df):
-    return transform.decode(df, "fastq", "1", Span(None, 1000))
+    return transform.decode(df, "fastq", "1")
 
 
 @_query("decode_tsv", "SELECT idx, CAST(1 AS INTEGER) AS mate, concat(s_header, chr(9), s_seq) AS record FROM reads")
@@ -272,10 +272,10 @@ def _(df):
     return transform.sample_number(df, 1000).select("idx", "s_seq")
 
 
-@_query("cat_union", "SELECT idx, s_seq FROM reads WHERE idx < 300 UNION ALL SELECT idx - 1000 + 300, s_seq FROM reads WHERE idx >= 1000 AND idx < 1400")
+@_query("cat_union", "SELECT idx, s_seq FROM reads UNION ALL SELECT idx + (SELECT count(*) FROM reads), x_seq FROM reads")
 def _(df):
-    second = in_span(df, Span(1000, 1400)).withColumn("idx", F.col("idx") - 1000)
-    return combine.cat([ReadSet(in_span(df, Span(0, 300)), Meta(paired=True)), ReadSet(second, Meta(paired=True))]).df.select("idx", "s_seq")
+    second = df.withColumn("s_seq", F.col("x_seq"))
+    return combine.cat([ReadSet(df, Meta(paired=True)), ReadSet(second, Meta(paired=True))]).df.select("idx", "s_seq")
 
 
 _ALIASES = [Pattern("GATTA", name="one"), Pattern("CCCGG", name="two"), Pattern("ACGTAC", name="one"), Pattern("TTTTTTTTTTTTTTT", name="rare")]
@@ -305,9 +305,13 @@ def _(df):
     return combine.split(df, _split(), 10, skip_unmatched=True).select("idx", "alias")
 
 
-@_query("shard_ranges", "SELECT CAST(shard AS INTEGER) AS shard, min(idx) AS first, max(idx) AS last, CAST(count(*) AS BIGINT) AS n FROM (SELECT idx, least((idx - 10) // 707, 6) AS shard FROM reads WHERE idx >= 10 AND idx < 4960) s GROUP BY shard")
+@_query(
+    "shard_ranges",
+    "SELECT CAST(shard AS INTEGER) AS shard, min(idx) AS first, max(idx) AS last, CAST(count(*) AS BIGINT) AS n FROM (SELECT idx, least((idx - 10) // ((SELECT count(*) - 10 FROM reads) // 7), 6) AS shard FROM reads WHERE idx >= 10) s GROUP BY shard",
+)
 def _(df):
-    out = transform.shards(df, 7, 10, 4960)
+    start, end = Span(10).resolve(df.count())
+    out = transform.shards(df, 7, start, end)
     return out.groupBy("shard").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"))
 
 
@@ -422,9 +426,9 @@ def _(df):
     return combine.zipped(one("s"), one("x"))
 
 
-@_query("interleave_pivot", "SELECT a.idx // 2 AS idx, a.s_header, a.s_seq, a.s_qual, b.s_header AS x_header, b.s_seq AS x_seq, b.s_qual AS x_qual FROM reads a JOIN reads b ON b.idx = a.idx + 1 WHERE a.idx % 2 = 0 AND a.idx < 20000")
+@_query("interleave_pivot", "SELECT a.idx // 2 AS idx, a.s_header, a.s_seq, a.s_qual, b.s_header AS x_header, b.s_seq AS x_seq, b.s_qual AS x_qual FROM reads a JOIN reads b ON b.idx = a.idx + 1 WHERE a.idx % 2 = 0")
 def _(df):
-    return combine.interleaved(in_span(df, Span(0, 20000)).select("idx", F.col("s_header").alias("header"), F.col("s_seq").alias("seq"), F.col("s_qual").alias("qual")))
+    return combine.interleaved(df.select("idx", F.col("s_header").alias("header"), F.col("s_seq").alias("seq"), F.col("s_qual").alias("qual")))
 
 
 def documents_header_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
