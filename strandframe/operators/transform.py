@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import seq as fn
 from strandframe.plans.matching import in_span
+from strandframe.plans.numbering import numbered
 from strandframe.plans.parse import Span
 from strandframe.schema import is_paired
 
+#: Sampled reads that are found as a top-k.
+TOP = 100_000
+
 
 def revcomp(df: DataFrame, mate: str = "both", span: Span | None = None) -> DataFrame:
     """Sequences of the mate reverse-complemented, qualities reversed; headers stay. Single reads are flipped whatever the mate."""
@@ -29,8 +33,16 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, span: Span |
 
 
 def sample_number(df: DataFrame, n: int, seed: int = 42, span: Span | None = None) -> DataFrame:
-    """Exactly n reads (or all, if there are fewer): those with the smallest draws, which is a top-k and no sort."""
-    return in_span(df, span or Span()).orderBy(fn.draw(F.col("idx"), seed), "idx").limit(n)
+    """Exactly n reads (or all, if there are fewer): those with the smallest draws.
+
+    Up to TOP reads, that is a top-k and no sort. More are ranked by a range sort on all
+    tasks, as a limit would bring them into one.
+    """
+    own, draw = in_span(df, span or Span()), fn.draw(F.col("idx"), seed)
+    if n <= TOP:
+        return own.orderBy(draw, "idx").limit(n)
+    ranked = numbered(own.withColumn("_draw", draw), ["_draw", "idx"], "_rank")
+    return ranked.where(F.col("_rank") < n).drop("_draw", "_rank")
 
 
 def n_policy(df: DataFrame, policy: str, seed: int = 42) -> DataFrame:

@@ -136,10 +136,9 @@ def plan(s: Search, paired: bool) -> Plan:
     if not paired and any(p.scope == "extended" for p in patterns):
         raise ValueError("extended patterns need paired reads")
     if paired and s.mate != "both":
-        kept, gone = ("primary", "extended") if s.mate == "1" else ("extended", "primary")
+        kept = "primary" if s.mate == "1" else "extended"
         own = [p for p in patterns if p.scope == kept]
         patterns = tuple([*own, *(replace(p, scope=kept) for p in patterns if p.scope == "either")])
-        del gone
     if not patterns:
         raise ValueError("there is no pattern to look for")
     if s.fuzzy:

@@ -46,6 +46,13 @@ def test_samples_depend_on_seed_and_index_only(reads):
     assert transform.sample_number(reads, 500, span=Span(10, 30)).count() == 20
 
 
+def test_large_samples_equal_small_ones(reads, monkeypatch):
+    want = rows(transform.sample_number(reads, 23))
+    monkeypatch.setattr(transform, "TOP", 5)
+    assert rows(transform.sample_number(reads, 23)) == want
+    assert transform.sample_number(reads, 1000).count() == 100
+
+
 @pytest.mark.parametrize("policy", list("iracgt"))
 def test_n_policies(reads, policy):
     out = transform.n_policy(reads, policy)
