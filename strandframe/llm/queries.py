@@ -68,4 +68,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_ledger": quality_ledger.SQL,
+    "op7_url_templates": url_templates.sql(),
 }

@@ -140,3 +140,46 @@ def judge(pages: DataFrame, rules=PRODUCTION, labels: DataFrame | None = None) -
     out = own.join(rejected, ["host", "segs"], "left")
     said = F.coalesce(F.col("fit.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), said.alias("verdict"))
+
+
+def sql(rules=PRODUCTION) -> str:
+    """``judge`` as SQL, for pages without further labels."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(rules, key=lambda r: -len(r.name))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in longest) + " END"
+    levels = []
+    for k in range(DEPTH):
+        levels.append(f"c{k} AS (SELECT host, prefix, count(DISTINCT segs[{k + 1}]) AS kids FROM p{k} WHERE len(segs) > {k} GROUP BY host, prefix)")
+        step = f"CASE WHEN len(segs) <= {k} THEN prefix ELSE prefix || '/' || CASE WHEN kids > {MOST_CHILDREN} THEN '*' ELSE segs[{k + 1}] END END AS prefix"
+        levels.append(f"p{k + 1} AS (SELECT host, segs, n, k, {step} FROM p{k} LEFT JOIN c{k} USING (host, prefix))")
+    return f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), f AS (
+  SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS said, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM h
+), s AS (
+  SELECT *, list_concat(list_transform(parts[1:{DEPTH}], lambda x: regexp_replace(x, '^[0-9]+($|\\.[a-z]+$)', '*\\1')), CASE WHEN len(parts) > {DEPTH} THEN ['**'] ELSE [] END) AS segs FROM f
+), p0 AS (
+  SELECT host, segs, count(said) AS n, count(*) FILTER (said = 'block') AS k, '' AS prefix FROM s GROUP BY host, segs
+), {", ".join(levels)}, tree AS (
+  SELECT *, prefix || CASE WHEN len(segs) > {DEPTH} THEN '/**' ELSE '' END AS template FROM p{DEPTH}
+), counts AS (
+  SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM tree GROUP BY host, template
+), shares AS (
+  SELECT *, CAST(sum(k) OVER (PARTITION BY host, parent) AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY host, parent), 1) AS share,
+         CAST(sum(k) OVER (PARTITION BY host) AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY host), 1) AS prior
+  FROM counts
+), branches AS (
+  SELECT *, CASE WHEN n >= {LEAST} AND abs(k / greatest(n, 1) - share) <= {Z} * sqrt(share * (1 - share) / greatest(n, 1)) + 1e-9 THEN parent || '/+' ELSE template END AS branch FROM shares
+), pooled AS (
+  SELECT host, branch, sum(n) AS n, sum(k) AS k FROM branches GROUP BY host, branch
+), rejected AS (
+  SELECT b.host, b.template FROM branches b JOIN pooled q USING (host, branch) WHERE q.n >= {LEAST} AND (q.k + {PRIOR} * b.prior) / (q.n + {PRIOR}) >= {REJECT}
+)
+SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN r.template IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM s LEFT JOIN tree t ON t.host = s.host AND t.segs = s.segs LEFT JOIN rejected r ON r.host = t.host AND r.template = t.template
+"""
