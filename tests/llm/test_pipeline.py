@@ -22,7 +22,7 @@ def test_stages_equal_plain_versions(spark):
     want = brute.component_ids(ids, [brute.fingerprint(texts[2][i]) for i in ids])
     assert set(texts[3]) == set(want)
     ids = sorted(texts[3])
-    for i, (n, gone, _, _) in zip(ids, brute.removed([texts[3][i] for i in ids]), strict=True):
+    for i, (n, gone, _, _) in zip(ids, brute.removed([texts[3][i] for i in ids], corpus_pipeline.PASSAGE_BYTES), strict=True):
         left = len(texts[4][i].encode())
         assert n - gone - 8 * (gone > 0) <= left + 8 and left <= n - gone
         assert gone or texts[4][i] == texts[3][i]
