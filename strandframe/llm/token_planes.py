@@ -162,7 +162,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, bits: int =
     """Encodes whole texts, appends ``end_id`` to each, and writes them in ascending key order below ``folder``.
 
     Returns one row per file: part, path, n_docs, n_ids. Null texts are empty. Null
-    keys come first; rows with equal keys are ordered by text.
+    keys come first; rows with equal keys are ordered by their texts' hash.
     """
 
     def run(batches):
@@ -187,7 +187,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, bits: int =
                 {"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:06d}.planes"], "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())}
             )
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id can still be dealt to several tasks, by their texts
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "part int, path string, n_docs long, n_ids long")
 
 
