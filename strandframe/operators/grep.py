@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,12 @@ from strandframe.functions.fuzzy import matches
 from strandframe.plans.matching import Plan, Search, in_span, plan
 from strandframe.schema import is_paired
 
-#: From so many literal patterns on, reads are cut into words and joined instead of being searched once per pattern.
+try:
+    import ahocorasick
+except ImportError:  # then many literals are joined instead
+    ahocorasick = None
+
+#: From so many literal patterns on, reads aren't searched once per pattern.
 MANY = 48
 #: Pattern tables up to this size are broadcast.
 SMALL_BYTES = 8 << 20
@@ -60,17 +66,59 @@ def _by_words(df: DataFrame, p: Plan) -> DataFrame:
             table = F.broadcast(table)
         hits = each.join(table, "word").groupBy("pid").agg(F.count("*").alias("n"))
         found = hits if found is None else found.union(hits)
-    names = spark.createDataFrame([(k, x.alias) for k, x in enumerate(p.patterns)], "pid int, name string")
+    return _named(df, p, found)
+
+
+def _by_automaton(df: DataFrame, p: Plan) -> DataFrame:
+    """Each batch of reads goes through one Aho-Corasick automaton per mate; a task passes on one row for each pattern it found."""
+    mates = ["s", "x"] if p.paired else ["s"]
+    own = df.select(*[p.sequence(m).alias(m) for m in mates])
+
+    def run(batches):
+        made = []
+        for m in mates:
+            by: dict[str, list[int]] = defaultdict(list)
+            for k, x in enumerate(p.patterns):
+                if m in p.mates(x.scope):
+                    by[x.text].append(k)
+            automaton = ahocorasick.Automaton()
+            for text, pids in by.items():
+                automaton.add_word(text, pids)
+            automaton.make_automaton()
+            made.append(automaton if by else None)
+        counts = [0] * len(p.patterns)
+        for batch in batches:
+            columns = [(made[i], batch.column(i).to_pylist()) for i in range(len(mates)) if made[i] is not None]
+            for row in range(len(batch)):
+                found = {pid for automaton, texts in columns for _, pids in automaton.iter(texts[row]) for pid in pids}
+                for pid in found:
+                    counts[pid] += 1
+        hits = [k for k, n in enumerate(counts) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int32()), pa.array([counts[k] for k in hits], pa.int64())], ["pid", "n"])
+
+    found = own.mapInArrow(run, "pid int, n long").groupBy("pid").agg(F.sum("n").alias("n"))
+    return _named(df, p, found)
+
+
+def _named(df: DataFrame, p: Plan, found: DataFrame) -> DataFrame:
+    """All patterns with their counts, and the number of reads."""
+    names = df.sparkSession.createDataFrame([(k, x.alias) for k, x in enumerate(p.patterns)], "pid int, name string")
     total = df.agg(F.count("*")).scalar()
     return names.join(found, "pid", "left").select("pid", "name", F.coalesce("n", F.lit(0)).alias("n"), total.alias("total"))
 
 
-def pattern_counts(df: DataFrame, s: Search, many: int = MANY) -> DataFrame:
-    """pid, name, count, frac_total of each pattern, with those that nothing matches; inverted: of the reads that lack it."""
+def pattern_counts(df: DataFrame, s: Search, many: int = MANY, how: str | None = None) -> DataFrame:
+    """pid, name, count, frac_total of each pattern, with those that nothing matches; inverted: of the reads that lack it.
+
+    how: scan (a predicate per pattern), automaton, or words (a join on substrings);
+    by default scan below ``many`` literals, else the automaton where its library is there.
+    """
     p = plan(s, is_paired(df))
     own = in_span(df, s.span)
-    use_words = p.backend == "fixed" and len(p.patterns) >= many and all(x.text for x in p.patterns)
-    out = _by_words(own, p) if use_words else _by_scan(own, p)
+    if how is None:
+        literal = p.backend == "fixed" and len(p.patterns) >= many and all(x.text for x in p.patterns)
+        how = ("automaton" if ahocorasick is not None else "words") if literal else "scan"
+    out = {"scan": _by_scan, "automaton": _by_automaton, "words": _by_words}[how](own, p)
     n = F.col("total") - F.col("n") if s.invert else F.col("n")
     return out.select("pid", "name", n.alias("count"), fn.ratio(n, F.col("total")).alias("frac_total")).orderBy("pid")
 

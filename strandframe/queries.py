@@ -151,12 +151,19 @@ def _many(n: int, length: int) -> list[str]:
 _MANY = [*_many(60, 6), *_many(60, 8)]
 
 
-@_query(
-    "grep_pattern_count_kmer_join",
+_MANY_SQL = (
     "SELECT CAST(pid AS INTEGER) AS pid, p.pattern AS name, CAST(" + _HITS + " AS BIGINT) AS count, " + _HITS + " / count(*) AS frac_total FROM reads CROSS JOIN (VALUES "
     + ", ".join(f"({k}, '{p}')" for k, p in enumerate(_MANY))
-    + ") p(pid, pattern) GROUP BY pid, p.pattern",
+    + ") p(pid, pattern) GROUP BY pid, p.pattern"
 )
+
+
+@_query("grep_pattern_count_kmer_join", _MANY_SQL)
+def _(df):
+    return grep.pattern_counts(df, search(_MANY), how="words")
+
+
+@_query("grep_pattern_count_many", _MANY_SQL)
 def _(df):
     return grep.pattern_counts(df, search(_MANY))
 

@@ -80,8 +80,9 @@ def test_pattern_counts(paired):
     s = search(["AAAA"], ["TTT"], ["TTT"], own)
     want = [("TTT", 1, 0.25), ("g", 0, 0.0), ("TTT", 1, 0.25), ("AAAA", 1, 0.25), ("same", 1, 0.25)]
     assert s.logic == "or"
-    for many in (1, 1000):
-        assert names(grep.pattern_counts(paired, s, many)) == want
+    for how in (None, "scan", "words", "automaton"):
+        assert names(grep.pattern_counts(paired, s, how=how)) == want
+    assert names(grep.pattern_counts(paired, s, 1)) == want
 
 
 def test_spans_and_colours(paired):
