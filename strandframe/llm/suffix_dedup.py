@@ -24,8 +24,10 @@ sorted suffixes and their common prefix lengths. From these lengths and those of
 other parts, sorted alike, equal parts of any length are numbered, and a window is
 repeated exactly if another has both its numbers.
 
-Equal texts are represented by one of them throughout; equal suffixes, with equal
-other parts, are merged into one entry within a run and within a bucket.
+Equal texts are represented by one of them throughout. Equal suffixes with equal other
+parts in one task are known to be repeated at once: the task reports their bytes and
+sends one of them, marked as such. So however often a passage occurs, a bucket gets it
+once from each task. Within a bucket, such entries are merged again.
 """
 
 from __future__ import annotations
@@ -106,14 +108,20 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return m - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
 
 
-def write_run(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
-    """A sorted, front-coded run of (sorted part, other part, owners)."""
+def write_run(entries: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, list[bytes]]:
+    """A sorted, front-coded run of (sorted part, other part, owner), and the owners of entries that occur more than once.
+
+    Of these, the run has one, whose owner stands twice.
+    """
     entries.sort(key=lambda e: (e[0], e[1]))
-    shared, rest, other, owners = [], [], [], []
+    shared, rest, other, owners, known = [], [], [], [], []
     last = None
     for first, second, own in entries:
         if last is not None and last == (first, second):
-            owners[-1] += own
+            if len(owners[-1]) == _OWNER.itemsize:
+                known.append(owners[-1])
+                owners[-1] *= 2
+            known.append(own)
             continue
         shared.append(common(last[0], first) if last else 0)
         rest.append(first[shared[-1] :])
@@ -122,7 +130,7 @@ def write_run(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
         last = (first, second)
     counts = np.array([shared, [*map(len, rest)], [*map(len, other)], [len(x) // _OWNER.itemsize for x in owners]], "<i4")
     body = b"".join([len(shared).to_bytes(8, "little"), counts.tobytes(), *rest, *other, *owners])
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=1).compress(body), known
 
 
 def read_run(blob: bytes):
@@ -295,7 +303,7 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, zone, run) of (text, _key, found): each task's sorted runs."""
+    """Of (text, _key, found): each task's sorted runs as (bucket, zone, run), and bytes it knows to repeat as (key, a, b)."""
 
     def run(batches):
         held: dict[tuple[int, int], list] = {}
@@ -303,7 +311,12 @@ def _runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
         def send():
             for (zone, bucket), entries in sorted(held.items()):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "zone": pa.array([zone], pa.int8()), "run": pa.array([write_run(entries)], pa.binary())})
+                blob, known = write_run(entries)
+                yield _row({"bucket": [bucket], "zone": [zone], "run": [blob]})
+                if known:
+                    own = np.frombuffer(b"".join(known), _OWNER)
+                    pos = own["pos"].astype(np.int64)
+                    yield _row({"key": [x.tobytes() for x in own["key"]], "a": pos - own["hi"], "b": pos - own["lo"] + length})
             held.clear()
 
         for batch in batches:
@@ -320,7 +333,13 @@ def _runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                         size = 0
         yield from send()
 
-    return docs.select("text", "_key", "found").mapInArrow(run, "bucket int, zone tinyint, run binary")
+    schema = pa.schema([("bucket", pa.int32()), ("zone", pa.int8()), ("run", pa.binary()), ("key", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
+
+    def _row(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    return docs.select("text", "_key", "found").mapInArrow(run, "bucket int, zone tinyint, run binary, key binary, a int, b int")
 
 
 def _merged(runs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -341,7 +360,7 @@ def _merged(runs: DataFrame, buckets: int, length: int) -> DataFrame:
                 blobs.append(blob)
         yield flush(at, blobs)
 
-    dealt = runs.repartition(buckets, "bucket", "zone").sortWithinPartitions("bucket", "zone")
+    dealt = runs.where("run is not null").select("bucket", "zone", "run").repartition(buckets, "bucket", "zone").sortWithinPartitions("bucket", "zone")
     return dealt.mapInArrow(run, "key binary, a int, b int")
 
 
@@ -358,13 +377,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     entries = one.select("s.key", "s.doc_id", F.explode(F.arrays_zip("s.zone", "s.pos", "s.lo", "s.hi", "s.hash")).alias("e"))
     entries = stored(entries.select("key", "doc_id", "e.*"), "entries")
     shared = entries.groupBy("zone", "hash").count().where("count > 1").select("zone", "hash")
+    shared = stored(shared, "cores")  # so that a core with many suffixes meets it in a join that Spark can split
     alike = entries.join(shared, ["zone", "hash"])
     found = stored(alike.groupBy("key", "doc_id").agg(F.collect_list(F.struct("zone", "pos", "lo", "hi", "hash")).alias("found")), "found")
     n = found.agg(F.sum(F.size("found"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
     right = found.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "found")
     with_text = docs.select("doc_id", "text", _key().alias("_key")).join(right, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    covered = _merged(_runs(with_text, buckets, length), buckets, length)
+    runs = stored(_runs(with_text, buckets, length), "runs")
+    covered = _merged(runs, buckets, length).union(runs.where("run is null").select("key", "a", "b"))
     whole = texts.where("copies > 1").select("key", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
     pieces = covered.join(whole.select("key"), "key", "left_anti").union(whole)
     return stored(pieces.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")

@@ -44,6 +44,13 @@ def test_removed_bytes_equal_brute_force(spark, seed):
     assert [tuple(r)[1:] for r in got] == want
 
 
+@pytest.mark.parametrize("length", [60, 240])
+def test_other_lengths(spark, length):
+    texts = repeats(random.Random(length))
+    got = suffix_dedup.dedup_digests(frame(spark, texts), length).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute.removed(texts, length)
+
+
 def test_removed_bytes_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
@@ -85,7 +92,7 @@ def test_merge_of_runs_gives_sorted_order_and_prefixes():
     rng = random.Random(3)
     for _ in range(60):
         runs = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 9))]
-        blobs = [suffix_dedup.write_run([(x, bytes([rng.randrange(3)]), b"\0" * 24) for x in r]) for r in runs]
+        blobs = [suffix_dedup.write_run([(x, bytes([rng.randrange(3)]), b"\0" * 24) for x in r])[0] for r in runs]
         merged = list(suffix_dedup.merge_runs([suffix_dedup.read_run(b) for b in blobs]))
         firsts = [m[1] for m in merged]
         assert firsts == sorted(firsts) and set(firsts) == {x for r in runs for x in r}
@@ -93,6 +100,22 @@ def test_merge_of_runs_gives_sorted_order_and_prefixes():
             assert b[0] == suffix_dedup.common(a[1], b[1])
 
 
+def test_a_run_reports_what_it_repeats():
+    own = [bytes([k]) * 24 for k in range(4)]
+    blob, known = suffix_dedup.write_run([(b"a", b"x", own[0]), (b"b", b"x", own[1]), (b"a", b"x", own[2]), (b"a", b"y", own[3])])
+    assert known == [own[0], own[2]]
+    assert [(e[1], e[2], e[3]) for e in suffix_dedup.read_run(blob)] == [(b"a", b"x", own[0] * 2), (b"a", b"y", own[3]), (b"b", b"x", own[1])]
+
+
+@pytest.mark.parametrize("size", [1, 1 << 30])
+def test_run_sizes_do_not_matter(spark, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", size)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
+    texts = repeats(random.Random(7)) + [words(random.Random(5), 90) * 2] + ["line of text that is common " * 60] * 2 + ["line of text that is common " * 50 + "!"]
+    got = suffix_dedup.dedup_digests(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute.removed(texts)
+
+
 def test_anchors_tile_the_windows_and_depend_on_the_window_alone():
     raw = np.frombuffer(words(random.Random(1), 600).encode(), np.uint8)
     pos, lo, hi = suffix_dedup.window_anchors(raw)
@@ -168,3 +191,5 @@ def test_simhash_of_the_table(spark):
 def test_representatives_of_repeated_rows(spark):
     docs = frame(spark, ["a b c d", "a b c d", "a b c d", "q r s t"], [1, 1, 2, 3])
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [1, 3]
+    docs = frame(spark, ["a b c d", "a b c d", "q r s t", "q r s t"], [None, 2, 5, None])
+    assert sorted((r.doc_id or 0) for r in simhash.representatives(docs).collect()) == [0, 0, 2, 5]
