@@ -10,10 +10,10 @@ All arcs with one label lead to one state at any time, so a copy is stored as
 (parent, removed label, merge number) and shares the arcs of its parent: an arc is
 looked up along these links once and then kept in the transition table.
 
-A word is read from left to right. For each end position there is exactly one
-last arc by which the automaton reads the prefix; it is found among the tokens that
-end there, by the table. Time is linear in the word's length, whatever it holds.
-Decoding emits the arcs' labels.
+A word is read from left to right, by the longest arc that leads on. Every prefix has
+one accepted tokenization only, so a position is reached in one state only, and is
+given up for good once no arc leads on from it. Time is linear in the word's length,
+whatever it holds. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -33,13 +33,6 @@ from strandframe.llm.common import ids_type, slices
 MOST_ARCS = 2_000_000
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 up."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-
-
 class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int] | None = None):
         n = max([*vocab.values(), *(special or {}).values()]) + 1
@@ -49,6 +42,7 @@ class MergeAutomaton:
         self.parent, self.cut, self.made = [-1], [-1], [-1]
         self.arcs: dict[int, int] = {}
         self.size = n
+        self.dead: set[int] = set()
         seen: set[int] = set()
         for k, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -56,10 +50,10 @@ class MergeAutomaton:
                 raise ValueError(f"two merges make the token {a + b!r}")
             seen.add(w)
             self._add(k, u, v, w)
-        letters = byte_letters()
+        letters = tokens.byte_letters()
         byte_of = {c: bytes([b]) for b, c in enumerate(letters)}
         alphabet = set(byte_of)
-        for token in [t for t, i in self.vocab.items() if i not in seen and not (len(t) == 1 and t in alphabet)]:
+        for token in [t for t, i in self.vocab.items() if i in self.dead or i not in seen and t not in alphabet]:
             del self.vocab[token]  # no merge makes it, so no text contains it
         self.labels: list[bytes] = [b""] * n
         for token, i in vocab.items():
@@ -67,14 +61,15 @@ class MergeAutomaton:
         for token, i in self.special.items():
             self.labels[i] = token.encode()
         self.longest = max(map(len, self.vocab), default=1)
+        self._index()
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _add(self, k: int, u: int, v: int, w: int) -> None:
         """The gadget of merge number k."""
         old = self.target[u]
         self.born[w], self.left[w] = k, u
-        if not self.follows(old, v):
-            del self.vocab[next(t for t, i in self.vocab.items() if i == w)]
+        if u in self.dead or v in self.dead or not self.follows(old, v):
+            self.dead.add(w)  # no text is ever merged to it
             return
         self.parent.append(old)
         self.cut.append(v)
@@ -104,26 +99,59 @@ class MergeAutomaton:
             self.arcs[key] = to
         return to
 
+    def _index(self) -> None:
+        """A tree of the tokens' letters, with each token's id at None, and each token's longest shorter prefix token."""
+        self.tree: dict = {}
+        self.length, self.shorter = [0] * self.size, [-1] * self.size
+        for token, i in self.vocab.items():
+            node = self.tree
+            for c in token:
+                node = node.setdefault(c, {})
+            node[None] = i
+            self.length[i] = len(token)
+        for token, i in self.vocab.items():
+            node = self.tree
+            for c in token[:-1]:
+                node = node[c]
+                self.shorter[i] = node.get(None, self.shorter[i])
+
     def word(self, letters: str) -> list[int]:
         """Ids of one pre-split word, in the vocabulary's letters."""
         whole = self.vocab.get(letters)
         if whole is not None:
             return [whole]
-        n, get, step, longest = len(letters), self.vocab.get, self.step, self.longest
-        state, last, came = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(letters[start:end])
-                if token is not None and (to := step(state[start], token)) >= 0:
-                    state[end], last[end], came[end] = to, token, start
-                    break
+        n, step, length, shorter, tree = len(letters), self.step, self.length, self.shorter, self.tree
+        arc, size = self.arcs.get, self.size
+        dead, path, states = bytearray(n + 1), [], [0]
+        at, fresh, token = 0, True, -1
+        while at < n:
+            if fresh:  # the longest token here
+                node, token = tree, -1
+                for c in letters[at : at + self.longest]:
+                    if c not in node:
+                        break
+                    node = node[c]
+                    if None in node:
+                        token = node[None]
+            if token < 0:  # no arc leads on: this position is left for good
+                if not path:
+                    raise ValueError(f"no token for {letters[at]!r}")
+                dead[at] = 1
+                states.pop()
+                token = path.pop()
+                at -= length[token]
             else:
-                raise ValueError(f"no token for {letters[end - 1]!r}")
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = came[end]
-        return out[::-1]
+                end = at + length[token]
+                to = arc(states[-1] * size + token)
+                if to is None:
+                    to = step(states[-1], token)
+                if to >= 0 and not dead[end]:
+                    path.append(token)
+                    states.append(to)
+                    at, fresh = end, True
+                    continue
+            token, fresh = shorter[token], False
+        return path
 
 
 class AutomatonEncoder(tokens.PieceEncoder):
@@ -137,27 +165,22 @@ class AutomatonEncoder(tokens.PieceEncoder):
             raise ValueError("only byte-level BPE without a normalizer is supported")
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         super().__init__(path)
-        self.words: dict[str, list[int]] = {}
         self.automaton = MergeAutomaton(model["vocab"], merges, {x["content"]: x["id"] for x in spec["added_tokens"]})
 
-    def _fill(self, missing: list[str]) -> dict[str, bytes]:
-        a, split, words, out = self.automaton, self.library.pre_tokenizer.pre_tokenize_str, self.words, {}
-        if len(words) > tokens.MOST_KEPT // 2:
-            words.clear()
-        for piece in missing:
+    def _word(self, letters: str) -> list[int]:
+        return self.automaton.word(letters)
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        a, split, out = self.automaton, self.library.pre_tokenizer.pre_tokenize_str, []
+        for piece in pieces:
             ids: list[int] = []
             for part in a.splitter.split(piece) if a.splitter else (piece,):
                 if part in a.special:
                     ids.append(a.special[part])
                 elif part:
                     for word, _ in split(part):
-                        got = words.get(word)
-                        if got is None:
-                            got = a.word(word)
-                            if len(word) <= tokens.LONGEST_KEPT:
-                                words[word] = got
-                        ids += got
-            out[piece] = tokens.id_bytes(ids)
+                        ids += a.word(word)
+            out.append(tokens.id_bytes(ids))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

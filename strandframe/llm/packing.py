@@ -7,7 +7,8 @@ is longer. A dynamic program picks the cuts: ``f(j) = min f(i) + padding(i, j) +
 SEQUENCE_COST + penalty(j)`` over the starts ``i`` at most ``max_len`` tokens before
 ``j``. As the padding is ``max_len - (j - i)``, the best start is the minimum of
 ``f(i) + i`` in a sliding window, which a monotone queue gives in constant time a
-cut. Lengths that are powers of two need no padding and are tried by lookup.
+cut. Lengths that are powers of two need no padding; those from ``max_len`` / 4 on are
+tried by lookup.
 
 A segment is closed at a document end once it holds ``SEGMENT`` tokens. Its last
 window isn't written but carried into the next segment, so that memory is bounded
@@ -38,25 +39,22 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray) -> tuple[n
 
     ends: where documents end; closes: by id, whether it ends a sentence.
     """
-    soft = np.flatnonzero(closes[ids]) + 1
-    known = np.union1d(soft, ends)
-    gaps = np.diff(np.concatenate([[0], known]))
+    kind = closes[ids].astype(np.uint8)  # of the token before each cut: 1 ends a sentence, 2 a document, 3 stands in a long sentence
+    kind[ends - 1] = 2
+    at = np.flatnonzero(kind) + 1
+    gaps = np.diff(at, prepend=0)
     long = np.flatnonzero(gaps > LONG_STEP)
     if len(long):
-        parts = [np.arange(known[k] - gaps[k] + LONG_STEP, known[k], LONG_STEP) for k in long]
-        at = np.union1d(known, np.concatenate(parts))
-    else:
-        at = known
-    penalty = np.full(len(at), LONG_CUT)
-    penalty[np.isin(at, soft, assume_unique=True)] = SENTENCE_CUT
-    penalty[np.isin(at, ends, assume_unique=True)] = 0
-    return at, penalty
+        for k in long.tolist():
+            kind[at[k] - gaps[k] + LONG_STEP - 1 : at[k] - 1 : LONG_STEP] = 3
+        at = np.flatnonzero(kind) + 1
+    return at, np.array([0, SENTENCE_CUT, 0, LONG_CUT])[kind[at - 1]]
 
 
 def best_cuts(at: list[int], penalty: list[int], max_len: int) -> list[int]:
     """The cheapest sequence ends among the cut points; the last point is one."""
     pos = [0, *at]
-    powers = [1 << k for k in range(max_len.bit_length()) if 1 << k < max_len]
+    powers = [1 << k for k in range(max_len.bit_length()) if max_len >> 2 <= 1 << k < max_len]
     index = {0: 0}
     cost, came = [0] * len(pos), [0] * len(pos)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, cut), ascending
@@ -87,10 +85,8 @@ def best_cuts(at: list[int], penalty: list[int], max_len: int) -> list[int]:
 
 def sentence_ends(path: str) -> np.ndarray:
     """By id: whether the token ends in a full stop, question or exclamation mark or holds a line feed."""
-    from strandframe.llm.bpe_automaton import byte_letters
-
     vocab = tokens.library(path).get_vocab(with_added_tokens=True)
-    line = byte_letters()[10]
+    line = tokens.byte_letters()[10]
     out = np.zeros(max(vocab.values()) + 1, bool)
     for token, i in vocab.items():
         out[i] = token.endswith((".", "!", "?")) or line in token

@@ -1,13 +1,16 @@
 """Exact, cached encoding of whole texts with the tokenizers library.
 
 A text is cut where the pre-tokenizer certainly starts a new word; equal pieces
-are encoded once by the library and then looked up. Pieces longer than
-``LONGEST_KEPT`` aren't kept, and the cache is emptied at ``MOST_KEPT`` pieces, so
-memory is bounded.
+are encoded once by the library and then looked up. A piece that is a plain Latin word
+with or without punctuation behind it is two words of the pre-tokenizer; the library's
+BPE model gets such a word directly. Pieces of more than ``LONGEST_KEPT`` ids aren't kept.
+There are two generations of ``MOST_KEPT`` pieces at most: when the younger is full,
+the older is dropped and takes its place, so memory is bounded.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -24,6 +27,19 @@ LONGEST_KEPT = 48
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
 #: One line feed between two such characters is a word of its own.
 _LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+_LINE_FEED = ("\n",)
+
+#: A word and the punctuation behind it; letters that lower case keeps whole.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*&$%#|]*)")
+#: Bytes of texts that are encoded at once, so that their pieces stay near the processor.
+AT_ONCE = 1 << 16
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 up."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 def default_path(name: str) -> str:
@@ -43,16 +59,25 @@ def library(path: str):
     return made
 
 
-def byte_pieces(text: str) -> list[str]:
-    """Pieces of a text for byte-level BPE; joined, they are the text."""
-    first, *rest = _SPACE.split(text)
-    pieces = [first, *[f" {x}" for x in rest]]
-    if "\n" in text:
-        return [y for x in pieces for y in (_LINE.split(x) if "\n" in x else (x,))]
-    return pieces
+def byte_pieces(text: str) -> list:
+    """Pieces of a text for byte-level BPE, in order: strings follow a space, which they don't hold; 1-tuples hold all their text."""
+    out: list = []
+    flat = text.replace("\n", " ")
+    if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " ":
+        # no white space but single spaces and line feeds, each between two other characters
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            out += (_LINE_FEED, (first,)) if k else ((first,),)
+            out += rest
+        return out
+    for line in _LINE.split(text) if "\n" in text else (text,):
+        first, *rest = _SPACE.split(line)
+        out.append((first,))
+        out += rest
+    return out
 
 
-def word_pieces(text: str) -> list[str]:
+def word_pieces(text: str) -> list:
     """Pieces of a text for a vocabulary whose pre-tokenizer drops white space."""
     return text.replace("\n", " ").split(" ")
 
@@ -66,32 +91,109 @@ def id_bytes(ids: list[int]) -> bytes:
 
 
 class PieceEncoder:
-    """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
+    """Encodes texts to the bytes of little-endian unsigned 32-bit ids.
+
+    lower: whether the library's normalizer makes lower case and drops white space;
+    then no piece follows a space.
+    """
+
+    def __init__(self, path: str, cut=byte_pieces, lower: bool = False):
+        self.library, self.cut, self.lower = library(path), cut, lower
+        self.kept, self.older = {}, {}
+        self.letters = byte_letters()
+
+    def _words(self, words: list) -> list[bytes]:
+        """Ids of pieces that are plain words."""
+        read, letters, out = self._word, self.letters, []
+        space = "" if self.lower else letters[32]
+        for piece in words:
+            before, word = ("", piece[0]) if type(piece) is tuple else (space, piece)
+            if self.lower:
+                word = word.lower()
+            if not word.isascii():
+                word = "".join([letters[b] for b in word.encode()])
+            out.append(id_bytes(read(before + word)))
+        return out
 
-    def __init__(self, path: str, cut=byte_pieces):
-        self.library, self.cut, self.kept = library(path), cut, {"": b""}
+    def _word(self, letters: str) -> list[int]:
+        """Ids of one word of the pre-tokenizer, in the vocabulary's letters."""
+        return [t.id for t in self.library.model.tokenize(letters)]
+
+    def _others(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts."""
+        return [id_bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _text(self, piece) -> str:
+        return piece[0] if type(piece) is tuple else piece if self.lower else " " + piece
+
+    def _fill(self, missing: list) -> dict:
+        """Ids of pieces that aren't kept, and of their parts."""
+        kept, older, plain = self.kept.get, self.older.get, _PLAIN.fullmatch
+        out, words, others, joined = {}, set(), [], []
+        for piece, ids in zip(missing, map(older, missing), strict=True):
+            if ids is not None:
+                out[piece] = ids
+                continue
+            whole = type(piece) is tuple
+            found = plain(piece[0] if whole else piece)
+            if found is None:
+                others.append(piece)
+                continue
+            word, rest = found.groups()
+            if rest:
+                joined.append((piece, (word,) if whole else word, (rest,)) if not self.lower else (piece, word, rest))
+            else:
+                words.add(piece)
+        parts = {x for _, word, rest in joined for x in (word, rest)}
+        parts.difference_update(out, words)
+        known = {}
+        for x in parts:
+            ids = kept(x) or older(x)
+            if ids is not None:
+                known[x] = ids
+            elif (x[0] if type(x) is tuple else x)[-1].isalpha():
+                words.add(x)
+            else:
+                others.append(x)
+        words = list(words)
+        out.update(zip(words, self._words(words), strict=True))
+        out.update(zip(others, self._others([self._text(x) for x in others]), strict=True))
+        for piece, word, rest in joined:
+            out[piece] = (out.get(word) or known[word]) + (out.get(rest) or known[rest])
+        return out
 
-    def _fill(self, missing: list[str]) -> dict[str, bytes]:
-        got = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        return {piece: id_bytes(e.ids) for piece, e in zip(missing, got, strict=True)}
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut, kept = [self.cut(x) for x in texts], self.kept
+        missing = {piece for pieces in cut for piece in pieces if piece not in kept}
+        if missing:
+            found = self._fill(list(missing))
+            kept.update(found)
+        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+        if missing:
+            for piece in [piece for piece, ids in found.items() if len(ids) > 4 * LONGEST_KEPT]:
+                del kept[piece]
+            if len(kept) > MOST_KEPT:
+                self.kept, self.older = {}, kept
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(x) for x in texts]
-        missing = list(set().union(*cut).difference(self.kept)) if cut else []
-        if len(self.kept) + len(missing) > MOST_KEPT:
-            self.kept = {"": b""}
-            missing = list(set().union(*cut).difference(self.kept))
-        found = self._fill(missing)
-        have = {**self.kept, **found} if len(missing) > MOST_KEPT else self.kept
-        have.update(found)
-        out = [b"".join(map(have.__getitem__, x)) for x in cut]
-        for piece in missing:
-            if len(piece) > LONGEST_KEPT:
-                have.pop(piece, None)
-        return out
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles
+        try:
+            out: list[bytes] = []
+            a = size = 0
+            for b, text in enumerate(texts):
+                size += len(text)
+                if size >= AT_ONCE:
+                    out += self._some(texts[a : b + 1])
+                    a, size = b + 1, 0
+            return out + self._some(texts[a:])
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> PieceEncoder:
     """One encoder for each worker process; kind: ``bytes`` or ``words``."""
-    return PieceEncoder(path, byte_pieces if kind == "bytes" else word_pieces)
+    return PieceEncoder(path, byte_pieces) if kind == "bytes" else PieceEncoder(path, word_pieces, lower=True)

@@ -203,8 +203,8 @@ def test_cuts_are_the_cheapest():
             ends = dict(zip(points, penalty, strict=True))
             return sum(pad(b - a) + packing.SEQUENCE_COST + ends[b] for a, b in zip([0, *cuts], cuts, strict=False))
 
-        def known_pad(n, most=most):  # powers below most / 32 aren't tried
-            return pad(n) if n >= most >> 5 else most - n
+        def known_pad(n, most=most):  # powers below most / 4 aren't tried
+            return pad(n) if n >= most >> 2 else most - n
 
         best = {0: 0}
         for b, p in zip(points, penalty, strict=True):
