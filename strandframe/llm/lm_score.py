@@ -32,6 +32,8 @@ HELD = 8.0
 #: Words that a task counts before it passes them on.
 MOST_WORDS = 1 << 19
 START = 1
+#: The class of a count n: its power of two and the four bits after the highest.
+_CLASS = "CAST(16 * (length(bin(n)) - 1) + shiftright(n * 16, length(bin(n)) - 1) - 16 AS INT)"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -45,7 +47,7 @@ def _batches_of_texts(batches, columns):
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all documents; the driver gets no more than ``size``."""
+    """The most frequent words of all documents, in order; the driver gets fewer than ``size``."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -63,7 +65,17 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         yield send()
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()]
+    counts = stored(counts.select("word", F.expr(_CLASS).alias("class")), "words")
+    sizes = counts.groupBy("class").count().collect()  # at most 16 * 63 rows
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["class"]):
+        total += r["count"]
+        if total > size - 2:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("class") >= least).select("word").collect())
 
 
 @dataclass

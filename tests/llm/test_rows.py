@@ -247,7 +247,13 @@ def test_url_plan_has_no_python(spark):
 def plain_lm(docs, good, size):
     tok = {i: (t or "").encode().lower().split() for i, t in docs.items()}
     counts = Counter(w for x in tok.values() for w in x)
-    vocab = [w for w, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))][: size - 2]
+    classes = {w: (n.bit_length() - 1, (n * 16 >> (n.bit_length() - 1)) - 16) for w, n in counts.items()}
+    for least in sorted(set(classes.values())):
+        vocab = sorted(w for w, c in classes.items() if c >= least)
+        if len(vocab) <= size - 2:
+            break
+    else:
+        vocab = []
     of = {w: k + 2 for k, w in enumerate(vocab)}
     ids = {i: [1, *[of.get(w, 0) for w in x]] for i, x in tok.items()}
     out = {}
