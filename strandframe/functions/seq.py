@@ -35,11 +35,6 @@ def gc_percent(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, F.round(gc.cast("double") / F.length(seq) * 100).cast("int"))
 
 
-def phred_sum(qual: Column) -> Column:
-    values = F.transform(F.split(qual, ""), lambda c: F.least(F.greatest(F.ascii(c) - OFFSET, F.lit(0)), F.lit(255)).cast("long"))
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
-
-
 def ratio(n: Column, total: Column) -> Column:
     """n / total, and 0 where total is 0."""
     return F.when(total == 0, F.lit(0.0)).otherwise(n.cast("double") / F.nullif(total, F.lit(0)))
