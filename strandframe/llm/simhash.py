@@ -34,6 +34,8 @@ WORDS, SEED, THRESHOLD = 3, 42, 2
 A_BITS = 31
 #: Classes of an anchor that are compared in one task.
 MOST = 256
+#: Ids that go are broadcast up to this size.
+SMALL_BYTES = 64 << 20
 _A_MASK = (1 << A_BITS) - 1
 
 
@@ -170,10 +172,14 @@ def representatives(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     Rows without doc_id stay. Of rows that repeat a doc_id, one stays.
     """
-    found = stored(near_duplicates(docs, size), "near")
-    ids = found.where("doc_id = component_id").groupBy("doc_id").count()
-    ids = stored(ids, "kept")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if ids.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    is_kept = F.col("doc_id") == F.col("component_id")
+    found = near_duplicates(docs, size).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(is_kept).alias("n"))
+    found = stored(found, "near")
+    gone = found.where("n = 0").select("doc_id")
+    held = gone.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
+    if held <= SMALL_BYTES:
+        gone = F.broadcast(gone)  # its size was just measured; larger ones are joined by a shuffle
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.where("n > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept

@@ -188,7 +188,9 @@ def test_simhash_of_the_table(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for r, c in zip(rows, want, strict=True) if r.doc_id < 900})
 
 
-def test_representatives_of_repeated_rows(spark):
+@pytest.mark.parametrize("small", [64 << 20, -1])
+def test_representatives_of_repeated_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_BYTES", small)
     docs = frame(spark, ["a b c d", "a b c d", "a b c d", "q r s t"], [1, 1, 2, 3])
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [1, 3]
     docs = frame(spark, ["a b c d", "a b c d", "q r s t", "q r s t"], [None, 2, 5, None])
