@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     ids = member.groupBy("label").agg(F.min("least").alias("component_id"))
     named = found.join(ids, "label").select(F.col("node").alias("fp"), "component_id")
     of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_class = stored(of_class, "components")  # so that a fingerprint with many copies meets it in a join that Spark can split
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
