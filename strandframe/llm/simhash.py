@@ -169,12 +169,17 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 
 def representatives(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one with the smallest doc_id.
+    """The rows of ``docs`` with one document of each component of near-duplicates."""
+    return one_of_each(docs, near_duplicates(docs, size))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of ``named`` (doc_id, component_id): the one with the smallest doc_id.
 
     Rows without doc_id stay. Of rows that repeat a doc_id, one stays.
     """
     is_kept = F.col("doc_id") == F.col("component_id")
-    found = near_duplicates(docs, size).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(is_kept).alias("n"))
+    found = named.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(is_kept).alias("n"))
     found = stored(found, "near")
     gone = found.where("n = 0").select("doc_id")
     held = gone.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
