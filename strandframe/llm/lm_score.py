@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import ids_type, slices, stored
+from strandframe.plans.numbering import numbered
 
 VOCABULARY = 1 << 16
 #: Bigrams that a task holds before it counts them and passes them on.
@@ -55,7 +56,7 @@ def _batches_of_texts(batches, columns):
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all documents, in order; the driver gets fewer than ``size``."""
+    """The ``size`` - 2 words of the highest counts, ties by the word; the driver gets no others."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -73,17 +74,19 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         yield send()
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts.select("word", F.expr(_CLASS).alias("class")), "words")
-    sizes = counts.groupBy("class").count().collect()  # at most 16 * 63 rows
-    least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["class"]):
-        total += r["count"]
-        if total > size - 2:
+    counts = stored(counts.select("word", "n", F.expr(_CLASS).alias("class")), "words")
+    sizes = {r["class"]: r["count"] for r in counts.groupBy("class").count().collect()}  # at most 16 * 63 rows
+    room, least, edge = size - 2, None, None
+    for k in sorted(sizes, reverse=True):
+        if sizes[k] > room:
+            edge = k
             break
-        least = r["class"]
-    if least is None:
-        return []
-    return sorted(bytes(r["word"]) for r in counts.where(F.col("class") >= least).select("word").collect())
+        room, least = room - sizes[k], k
+    chosen = [] if least is None else counts.where(F.col("class") >= least).select("word").collect()
+    if edge is not None and room > 0:
+        ranked = numbered(counts.where(F.col("class") == edge).select((-F.col("n")).alias("least_first"), "word"), ["least_first", "word"], "place")
+        chosen += ranked.where(F.col("place") < room).select("word").collect()
+    return sorted(bytes(r["word"]) for r in chosen)
 
 
 @dataclass

@@ -45,3 +45,19 @@ def test_more_bigrams_than_places(spark, monkeypatch, chunk):
     monkeypatch.setattr(lm_score, "PART_BYTES", 20 * chunk)
     rng = random.Random(3)
     check(spark, {i: " ".join(f"w{rng.randint(0, 40)}" for _ in range(40)) for i in range(40)}, size=64, slots=16)
+
+
+@pytest.mark.parametrize("size", [2, 5, 12, 30])
+def test_vocabulary_is_cut_within_a_class_of_counts(spark, size):
+    """Words of about the same counts: a class of counts holds more than there is room for."""
+    rng = random.Random(4)
+    docs = {i: " ".join(f"w{rng.randint(0, 40)}" for _ in range(40)) for i in range(40)}
+    counts = Counter(w for t in docs.values() for w in t.encode().split())
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert lm_score.vocabulary(df, size) == sorted(sorted(counts, key=lambda w: (-counts[w], w))[: size - 2])
+    check(spark, docs, size, 1 << 20)
+
+
+def test_vocabulary_of_equal_counts(spark):
+    df = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(10, 60)))], "doc_id long, text string")
+    assert lm_score.vocabulary(df, 12) == [f"w{i}".encode() for i in range(10, 20)]
