@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandframe.plans.numbering import shared_path as scratch_path
+from strandframe.plans.numbering import stored
+
+__all__ = ["ASCII_SPACE", "byte_view", "fresh", "ids_type", "scratch_path", "slices", "stored", "table"]
+
 #: Code points that separate words everywhere in this subpackage: space and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,36 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what ``spark.checkpoint.dir`` names; only where that is unset, as in
-    tests on one machine, is a temporary folder made and set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is written yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
-
-    This cuts the lineage: what follows survives the loss of executors and
-    doesn't compute ``df`` again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets, without a copy; null counts as empty."""
     column = column.fill_null("")
