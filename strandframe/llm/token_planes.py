@@ -9,7 +9,8 @@ zstandard on its own. All numbers are little-endian.
 The footer is zstandard-compressed: ids' width in planes, bits a plane (1 or 8),
 block size, number of ids, of blocks and of documents as eight-byte integers; for
 each plane of each block its place and length; the documents' token counts; their
-keys as JSON. A reader needs the footer to find any block or document.
+keys as an Arrow stream of one column, so keys of any type come back as they were. A
+reader needs the footer to find any block or document.
 
 Writing sorts the documents by key into ranges, one file a task; a task writes to a
 name of its own and renames the file when it is whole, so a task that runs again
@@ -19,7 +20,6 @@ replaces it with an equal one.
 from __future__ import annotations
 
 import io
-import json
 import struct
 import uuid
 import zlib
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strandframe.llm import tokens
 from strandframe.llm.common import slices
 
-MAGIC = b"IDPLANE1"
+MAGIC = b"IDPLANE2"
 BLOCK = 1 << 16
 LEVEL = 1
 
@@ -63,10 +63,10 @@ def from_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
 
 
 class PlaneWriter:
-    """Writes one file; ``out`` needs only ``write``."""
+    """Writes one file; ``out`` needs only ``write``. key_type: the Arrow type of the keys; without it, Arrow tells it from them."""
 
-    def __init__(self, out, bits: int = 8, block: int = BLOCK):
-        self.out, self.bits, self.block = out, bits, block
+    def __init__(self, out, bits: int = 8, block: int = BLOCK, key_type: pa.DataType | None = None):
+        self.out, self.bits, self.block, self.key_type = out, bits, block, key_type
         self.at, self.rest, self.waiting, self.n = len(MAGIC), [], 0, 0
         self.index: list[tuple[int, list[tuple[int, int]]]] = []
         self.keys: list[object] = []
@@ -105,7 +105,11 @@ class PlaneWriter:
             if own:
                 places[k, : len(own)] = own
         head = struct.pack("<6q", planes, self.bits, self.block, self.n, len(self.index), len(self.keys))
-        body = head + places.tobytes() + np.asarray(self.counts, "<i8").tobytes() + json.dumps(self.keys).encode()
+        keys = pa.record_batch([pa.array(self.keys, self.key_type)], ["key"])
+        stream = io.BytesIO()
+        with pa.ipc.new_stream(stream, keys.schema) as to:
+            to.write_batch(keys)
+        body = head + places.tobytes() + np.asarray(self.counts, "<i8").tobytes() + stream.getvalue()
         footer = self.squeeze.compress(body)
         self.out.write(footer + struct.pack("<q", len(footer)) + MAGIC)
 
@@ -127,7 +131,8 @@ class PlaneReader:
         a = 48 + blocks * self.planes * 16
         self.places = np.frombuffer(body[48:a], "<i8").reshape(blocks, self.planes, 2)
         self.counts = np.frombuffer(body[a : a + 8 * docs], "<i8")
-        self.keys = json.loads(body[a + 8 * docs :])
+        own = pa.ipc.open_stream(body[a + 8 * docs :]).read_all().column("key")
+        self.key_type, self.keys = own.type, own.to_pylist()
 
     def _at(self, place: int, length: int) -> bytes:
         self.source.seek(place)
@@ -176,7 +181,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, bits: int =
                 if writer is None and len(piece):
                     system.create_dir(base, recursive=True)
                     out = system.open_output_stream(mine)
-                    writer = PlaneWriter(out, bits)
+                    writer = PlaneWriter(out, bits, key_type=piece.schema.field("doc_id").type)
                 for key, blob in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").fill_null("").to_pylist()), strict=True):
                     writer.add(key, np.frombuffer(blob + tail, "<u4"))
         if writer is not None:
@@ -205,13 +210,14 @@ def read_digests(spark: SparkSession, files: list[tuple[str, int]], key_type: st
                 system, place = _file_system(path)
                 with system.open_input_file(place) as source:
                     keys, starts, counts, sums = [], [], [], []
-                    for key, ids in PlaneReader(source):
+                    reader = PlaneReader(source)
+                    for key, ids in reader:
                         keys.append(key)
                         starts.append(start)
                         counts.append(len(ids))
                         sums.append(zlib.crc32(ids.tobytes()))
                         start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x, pa.int64()) for x in (starts, counts, sums))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, reader.key_type), *(pa.array(x, pa.int64()) for x in (starts, counts, sums))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame(files, "path string, start long")
     return rows.repartition(len(files), F.col("path")).mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from strandframe.llm import bpe_automaton, packing, token_planes, tokens
 from strandframe.llm.common import scratch_path
 
+ODD_IDS = {"date": "date_add(date'2020-01-01', CAST(id AS int))", "timestamp": "timestamp_seconds(id)", "binary": "CAST(id AS string)"}
 BYTES, WORDS = tokens.default_path("byte_bpe_50k.json"), tokens.default_path("word_bpe_49k.json")
 PARTS = [" ", "  ", "\n", "\n\n", " \n", "a", "the", "'s", "é", "日本", "1", "23", "!", "\t", "\xa0", "\x1c", "<|endoftext|>", "aaaa", "ing", "tion", "\u0301", "🙂", "\r\n", "'", "Ω", "_", "\x85", "İ", "ß,", "Word.", " x|"]
 AWKWARD = [None, "", " ", "a" * 5000, "ab " * 3000, "<|startoftext|> x<|endoftext|>", "e\u0301 É"]
@@ -138,6 +139,14 @@ def test_written_ids(spark):
         start += len(want)
 
 
+@pytest.mark.parametrize("kind", ["int", "date", "decimal(12,2)", "string", "timestamp", "binary", "double"])
+def test_ids_of_any_type_come_back(spark, tmp_path, kind):
+    docs = spark.sql(f"SELECT CAST({ODD_IDS.get(kind, 'id')} AS {kind}) AS doc_id, CAST(id AS string) AS text FROM range(3) UNION ALL SELECT NULL, NULL")
+    got = token_planes.write_and_read(docs, WORDS, str(tmp_path / "planes"))
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (r.doc_id for r in docs.collect())))
+
+
 def test_written_empty_table_and_repeated_rows(spark):
     assert token_planes.write_and_read(frame(spark, ["a"]).where("false"), WORDS, scratch_path(spark, "planes")).count() == 0
     got = token_planes.write_and_read(frame(spark, ["a", "a", "b"], [1, 1, None]), WORDS, scratch_path(spark, "planes")).orderBy("start").collect()
