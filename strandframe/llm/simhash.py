@@ -11,12 +11,14 @@ differs in at most one bit, or B doesn't differ.
 * Block B: threshold 0, so each of its values is an anchor of radius 0: one replica.
 
 Equal fingerprints are one class, so at most 17 rows a class are shuffled, however
-many copies there are. The members of an anchor are compared in one task up to
-``MOST`` classes. An anchor with more is never gathered: its classes are replicated
-instead to all points of the whole space within distance 1, as balls of radius 1
-meet exactly if the centres are within 2. At most 65 classes can meet in a point, and
-all of these are linked. An anchor reports a spanning forest of its links, not all
-pairs; the components are the same.
+many copies there are. An anchor with more than ``MOST`` classes is crowded and split by
+a second code on the block that its own code leaves out (B for an anchor of block A,
+where linked members differ in at most two bits; A for one of block B). That block is
+cut alike: 15 bits with the Hamming code [15, 11], whose anchors within 1 + 1 take at
+most 8 replicas, and the rest, matched exactly. What is crowded even then is dealt into
+blocks of ``MOST`` classes, and each pair of blocks is compared in a task of its own. So
+no anchor is gathered whole, and none is cut short. Each comparison reports a spanning
+forest of its links, not all pairs; the components are the same.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from strandframe.llm.common import ids_type, slices, stored
 from strandframe.llm.components import components
 
 WORDS, SEED, THRESHOLD = 3, 42, 2
-A_BITS = 31
-#: Classes of an anchor that are compared in one task.
+A_BITS, SECOND_BITS = 31, 15
+#: Classes of an anchor, or of a block of one, that are compared at once.
 MOST = 256
 #: Ids that go are broadcast up to this size.
 SMALL_BYTES = 64 << 20
-_A_MASK = (1 << A_BITS) - 1
+_A_MASK, _EXACT = (1 << A_BITS) - 1, 1 << 62
 
 
 def fingerprint(raw: bytes, size: int = WORDS) -> int:
@@ -71,41 +73,39 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids_type(docs)}, fp long")
 
 
-def syndromes(words: np.ndarray) -> np.ndarray:
-    """Of 31-bit words: the exclusive or of the numbers, from 1, of their set bits."""
-    out = np.zeros(len(words), np.int64)
-    for k in range(A_BITS):
-        out ^= np.where((words >> k) & 1, k + 1, 0)
-    return out
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (anchor, fingerprint) of signed 64-bit fingerprints."""
-    bits = fps.view(np.uint64)
-    words = (bits & np.uint64(_A_MASK)).astype(np.int64)
-    found, own = [], []
-    s = syndromes(words)
+def near_codewords(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codeword, place in ``words``) of all words of the Hamming code of ``width`` bits (a power of two less one) within 2 of each."""
+    s = np.zeros(len(words), np.int64)  # the exclusive or of the numbers, from 1, of the set bits
+    for k in range(width):
+        s ^= np.where((words >> k) & 1, k + 1, 0)
     flip = np.where(s > 0, np.left_shift(1, np.maximum(s, 1) - 1), 0)
-    found.append(words ^ flip)  # the nearest
-    own.append(fps)
-    for i in range(1, A_BITS + 1):  # two bits whose numbers give the syndrome
+    found, own = [words ^ flip], [np.arange(len(words))]  # the nearest
+    for i in range(1, width + 1):  # two bits whose numbers give the syndrome
         j = i ^ s
         at = np.flatnonzero((s > 0) & (j > i))
         found.append(words[at] ^ (1 << (i - 1)) ^ np.left_shift(1, j[at] - 1))
-        own.append(fps[at])
-    found.append((bits >> np.uint64(A_BITS)).astype(np.int64) | (1 << 62))
-    own.append(fps)
+        own.append(at)
     return np.concatenate(found), np.concatenate(own)
 
 
-def balls(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (point, fingerprint) within distance 1."""
-    flips = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))]).astype(np.uint64)
-    return (fps.view(np.uint64)[:, None] ^ flips[None, :]).reshape(-1).view(np.int64), np.repeat(fps, 65)
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (anchor, fingerprint) of signed 64-bit fingerprints."""
+    bits = fps.view(np.uint64)
+    found, own = near_codewords((bits & np.uint64(_A_MASK)).astype(np.int64), A_BITS)
+    exact = (bits >> np.uint64(A_BITS)).astype(np.int64) | _EXACT
+    return np.concatenate([found, exact]), np.concatenate([fps[own], fps])
+
+
+def second_anchors(at: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(second anchor, place) of the members ``fps`` of the anchors ``at``."""
+    bits = fps.view(np.uint64)
+    rest = np.where(at & _EXACT, bits & np.uint64(_A_MASK), bits >> np.uint64(A_BITS)).astype(np.int64)
+    found, own = near_codewords(rest & ((1 << SECOND_BITS) - 1), SECOND_BITS)
+    return np.concatenate([found, (rest >> SECOND_BITS) | _EXACT]), np.concatenate([own, np.arange(len(fps))])
 
 
 def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
+    """A spanning forest of the links among distinct fingerprints, 2 * MOST or fewer."""
     u = fps.view(np.uint64)
     near = np.bitwise_count(u[:, None] ^ u[None, :]) <= threshold
     left, out = np.ones(len(fps), bool), []
@@ -122,33 +122,60 @@ def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]
     return out
 
 
-def _replicas(fps: DataFrame, how, name: str) -> DataFrame:
+def _visits(fps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a in range(0, len(batch), 4096):
-                at, own = how(np.asarray(batch.column("fp").slice(a, 4096)))
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own)], [name, "fp"])
+                at, own = anchors(np.asarray(batch.column("fp").slice(a, 4096)))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own)], ["anchor", "fp"])
 
-    return fps.select("fp").mapInArrow(run, f"{name} long, fp long")
+    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) of distinct fingerprints ``fp``: links whose components are those of all links."""
-    visits = stored(_replicas(fps, anchors, "anchor"), "visits")
-    sizes = visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(visits.join(sizes, "anchor"), "shared")
-    groups = shared.where(F.col("n") <= MOST).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).select("fps")
+def _split(crowded: DataFrame) -> DataFrame:
+    """(anchor, second, fp) of (anchor, fp)."""
 
-    def compare(batches):
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                at, own = (np.asarray(batch.column(c).slice(a, 4096)) for c in ("anchor", "fp"))
+                second, place = second_anchors(at, own)
+                yield pa.RecordBatch.from_arrays([pa.array(at[place]), pa.array(second), pa.array(own[place])], ["anchor", "second", "fp"])
+
+    return crowded.select("anchor", "fp").mapInArrow(run, "anchor long, second long, fp long")
+
+
+def _compared(groups: DataFrame) -> DataFrame:
+    """(a, b): forests of the links in each array ``fps``."""
+
+    def run(batches):
         for batch in batches:
             found = [x for group in batch.column("fps").to_pylist() for x in forest(np.array(sorted(group), np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    cold = groups.mapInArrow(compare, "a long, b long")
-    crowded = shared.where(F.col("n") > MOST).select("fp").distinct()
-    points = _replicas(crowded, balls, "point").groupBy("point").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("fps"))
-    hot = points.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where("a <> b")
-    return cold.union(hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return groups.select("fps").mapInArrow(run, "a long, b long")
+
+
+def _sized(visits: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``n``, the classes that share the keys, to those that aren't alone; stored."""
+    sizes = visits.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return stored(visits.join(sizes, keys), "shared")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b) of distinct fingerprints ``fp``: links whose components are those of all links."""
+    shared = _sized(stored(_visits(fps), "visits"), ["anchor"])
+    few = F.col("n") <= MOST
+    found = _compared(shared.where(few).groupBy("anchor").agg(F.collect_list("fp").alias("fps")))
+    crowded = shared.where(~few)
+    if not crowded.isEmpty():
+        split = _sized(stored(_split(crowded), "split"), ["anchor", "second"])
+        found = found.union(_compared(split.where(few).groupBy("anchor", "second").agg(F.collect_list("fp").alias("fps"))))
+        parts = F.ceil(F.col("n") / F.lit(MOST)).cast("int")
+        dealt = split.where(~few).withColumn("own", F.pmod(F.xxhash64("fp"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        blocks = dealt.groupBy("anchor", "second", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        found = found.union(_compared(blocks.agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -185,7 +212,7 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     held = gone.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
     if held <= SMALL_BYTES:
         gone = F.broadcast(gone)  # its size was just measured; larger ones are joined by a shuffle
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
     if found.where("n > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
     return kept

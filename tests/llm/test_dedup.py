@@ -138,7 +138,7 @@ def near_prints(rng, n):
     return out
 
 
-@pytest.mark.parametrize("most", [256, 3])
+@pytest.mark.parametrize("most", [256, 20, 3])
 def test_components_of_fingerprints(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST", most)
     rng = random.Random(5)
@@ -174,6 +174,48 @@ def test_every_anchor_pair_meets():
         assert at[0] & at[1] and max(map(len, at)) <= 17
 
 
+def test_members_of_an_anchor_that_link_share_a_second_one():
+    rng = random.Random(7)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for _ in range(rng.randint(0, 2)):
+            y ^= 1 << rng.randrange(64)
+        pair = []
+        for v in (x, y):
+            at, own = simhash.anchors(np.array([v], np.uint64).view(np.int64))
+            second, place = simhash.second_anchors(at, own)
+            assert np.bincount(place).max() <= 9
+            pair.append(set(zip(at[place].tolist(), second.tolist(), strict=True)))
+        assert pair[0] & pair[1]
+
+
+def test_crowded_anchors(spark):
+    """Several hundred classes around few centres, so that anchors hold more than MOST of them."""
+    rng = random.Random(8)
+    distinct = set()
+    while len(distinct) < 900:
+        x = 0x0123456789ABCDEF
+        for at in rng.sample(range(31, 64) if len(distinct) < 500 else range(31), rng.randint(1, 4)):
+            x ^= 1 << at
+        distinct.add(x)
+    distinct = sorted(distinct)
+    frame_of = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in distinct], "fp long")
+    label = {r.node % (1 << 64): r.label for r in simhash.components(simhash.links(frame_of)).collect()}
+    want = brute.component_ids(list(range(len(distinct))), distinct)
+    groups = {}
+    for i, x in enumerate(distinct):
+        groups.setdefault(want[i], set()).add(label.get(x, ("alone", x)))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert simhash._visits(frame_of).groupBy("anchor").count().agg({"count": "max"}).first()[0] > simhash.MOST
+
+
+def test_representatives_with_odd_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "p"), (2, "a b c d", "q"), (3, "x y z", "r")], "doc_id long, text string, `x.y` string")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_simhash_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = frame(spark, [None, "", "One", "one two", " \t\n", "ONE\x0btwo"], [900, 901, 902, 903, 904, 905]).select("doc_id", "text")
