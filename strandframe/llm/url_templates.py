@@ -7,14 +7,21 @@ Each host has a tree of path segments. Segments of digits are variable and becom
 ``*`` (``*.html`` with an ending). A level at which a host has more than
 ``MOST_CHILDREN`` different segments below one parent is variable, too. A template is
 the resulting path. Labels are pages on which a rule decided, or given ones: blocked is
-bad. Sibling templates whose shares of bad labels don't differ significantly from
-their parent's are merged into one branch, so that they share their labels. A template
-is rejected if its labels are bad to at least ``REJECT``, after smoothing with
-``PRIOR`` labels at the host's share, and there are ``LEAST`` or more of them.
+bad. A node's labels are those of all paths below it.
+
+Nodes are merged over all levels: a node whose share of bad labels doesn't differ
+significantly from its parent's belongs to the parent's branch, so siblings that are
+alike share one branch, and a node without labels, which nothing tells from its parent,
+belongs to that of its nearest ancestor that has one of its own. A branch's labels are
+those of the templates that end in it. A branch is rejected if its labels are bad to at
+least ``REJECT``, after smoothing with ``PRIOR`` labels at the host's share, and there
+are ``LEAST`` or more of them; so templates without labels are judged by the labelled
+ones that they are merged with.
 
 The tree is built on the distinct paths of a host with their label counts, after
 partial aggregation; a page's row meets only the table of rejected paths. Tables are
-joined, not broadcast, unless Spark measures that they are small.
+joined, not broadcast, unless Spark measures that they are small. The tree has as many
+levels as the longest path; every ``STEP`` levels it is stored, so that plans stay short.
 """
 
 from __future__ import annotations
@@ -27,8 +34,8 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import fresh, stored
 
 MOST_CHILDREN = 64
-#: Levels of the tree; deeper segments are one ``**``.
-DEPTH = 4
+#: Levels after which the tree is stored.
+STEP = 4
 LEAST, PRIOR, REJECT, Z = 5, 4.0, 0.8, 1.96
 
 
@@ -76,42 +83,51 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """DEPTH + 1 segments at most, the last of which stands for all deeper ones; digits are variable."""
+    """Digits are variable."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    plain = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.regexp_replace(s, r"^[0-9]+(?=$|\.[a-z]+$)", "*"))
-    return F.when(F.size(parts) > DEPTH, F.concat(plain, F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(parts, lambda s: F.regexp_replace(s, r"^[0-9]+(?=$|\.[a-z]+$)", "*"))
 
 
 def _generalised(paths: DataFrame) -> DataFrame:
-    """Adds ``template`` and ``parent`` to (host, segs, ...)."""
-    out = paths.withColumn("prefix", F.lit(""))
-    for level in range(DEPTH):
+    """Adds ``template`` to (host, segs, ...)."""
+    out = paths.withColumn("template", F.lit(""))
+    for level in range(paths.agg(F.max(F.size("segs"))).first()[0] or 0):
         seg = F.get("segs", F.lit(level))
-        children = out.where(seg.isNotNull()).select("host", "prefix", seg.alias("seg")).distinct()
-        wide = children.groupBy("host", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CHILDREN).select("host", "prefix", F.lit(True).alias("variable"))
-        out = out.join(wide, ["host", "prefix"], "left")
-        taken = F.when(seg.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.when(F.col("variable"), F.lit("*")).otherwise(seg)))
-        out = out.withColumn("prefix", taken).drop("variable")
-    tail = F.when(F.size("segs") > DEPTH, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix"))
-    return out.withColumn("template", tail).drop("prefix").withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+        children = out.where(seg.isNotNull()).select("host", "template", seg.alias("seg")).distinct()
+        wide = children.groupBy("host", "template").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CHILDREN).select("host", "template", F.lit(True).alias("variable"))
+        out = out.join(wide, ["host", "template"], "left")
+        taken = F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("variable"), F.lit("*")).otherwise(seg)))
+        out = out.withColumn("template", taken).drop("variable")
+        if level % STEP == STEP - 1:
+            out = stored(out, "levels")
+    return out
 
 
 def path_verdicts(paths: DataFrame) -> DataFrame:
     """(host, segs, template, branch, n_labels, purity, rejected) of (host, segs, n, k): labels and bad labels of each path."""
     tree = stored(_generalised(paths), "templates")
-    counts = tree.groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    above = counts.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"))
-    hosts = counts.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    joined = counts.join(above, ["host", "parent"]).join(hosts, "host")
+    counts = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    steps = F.split(F.substr("template", F.lit(2)), "/")
+    # the path to each node that a template passes, the host's root ("") first
+    above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda j: F.when(j == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, F.greatest(j, F.lit(1))), "/"))))
+    counts = stored(counts.withColumn("nodes", F.when(F.col("template") == "", F.array(F.lit(""))).otherwise(above)), "templates")
+    nodes = counts.select("host", "n", "k", F.posexplode("nodes").alias("level", "node"), F.expr("nodes").alias("nodes"))
+    nodes = nodes.select("host", "node", "level", F.get("nodes", F.col("level") - 1).alias("parent"), "n", "k")
+    nodes = nodes.groupBy("host", "node", "level", "parent").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    parents = nodes.select("host", F.col("node").alias("parent"), F.col("n").alias("pn"), F.col("k").alias("pk"))
+    joined = nodes.join(parents, ["host", "parent"], "left")  # the parent of a node is unique; a root has none
     share = F.col("pk") / F.greatest("pn", F.lit(1))
     spread = F.sqrt(share * (1 - share) / F.greatest("n", F.lit(1)))
-    alike = (F.col("n") >= LEAST) & (F.abs(F.col("k") / F.greatest("n", F.lit(1)) - share) <= Z * spread + 1e-9)
-    branch = joined.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/+"))).otherwise(F.col("template")))
-    pooled = branch.groupBy("host", "branch").agg(F.sum("n").alias("n_labels"), F.sum("k").alias("n_bad"))
+    alike = (F.col("n") == 0) | (F.abs(F.col("k") / F.greatest("n", F.lit(1)) - share) <= Z * spread + 1e-9)
+    starts = joined.where(F.col("parent").isNull() | ~alike).select("host", "node", F.lit(True).alias("own"))
+    passed = counts.select("host", "template", "n", "k", F.posexplode("nodes").alias("level", "node"))
+    ends = passed.join(starts, ["host", "node"]).groupBy("host", "template").agg(F.max_by("node", "level").alias("branch"), F.first("n").alias("n"), F.first("k").alias("k"))
+    hosts = counts.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
+    pooled = ends.groupBy("host", "branch").agg(F.sum("n").alias("n_labels"), F.sum("k").alias("n_bad")).join(hosts, "host")
     prior = F.col("hk") / F.greatest("hn", F.lit(1))
     purity = (F.col("n_bad") + PRIOR * prior) / (F.col("n_labels") + PRIOR)
-    judged = branch.select("host", "template", "branch", "hn", "hk").join(pooled, ["host", "branch"])
-    judged = judged.select("host", "template", "branch", "n_labels", purity.alias("purity"), ((F.col("n_labels") >= LEAST) & (purity >= REJECT)).alias("rejected"))
+    judged = pooled.select("host", "branch", "n_labels", purity.alias("purity"), ((F.col("n_labels") >= LEAST) & (purity >= REJECT)).alias("rejected"))
+    judged = ends.select("host", "template", "branch").join(judged, ["host", "branch"])
     return tree.select("host", "segs", "template").join(judged, ["host", "template"])
 
 
@@ -142,16 +158,16 @@ def judge(pages: DataFrame, rules=PRODUCTION, labels: DataFrame | None = None) -
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), said.alias("verdict"))
 
 
-def sql(rules=PRODUCTION) -> str:
-    """``judge`` as SQL, for pages without further labels."""
+def sql(rules=PRODUCTION, levels: int = 12) -> str:
+    """``judge`` as SQL, for pages without further labels whose paths have at most ``levels`` segments."""
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(rules, key=lambda r: -len(r.name))
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in longest) + " END"
-    levels = []
-    for k in range(DEPTH):
-        levels.append(f"c{k} AS (SELECT host, prefix, count(DISTINCT segs[{k + 1}]) AS kids FROM p{k} WHERE len(segs) > {k} GROUP BY host, prefix)")
-        step = f"CASE WHEN len(segs) <= {k} THEN prefix ELSE prefix || '/' || CASE WHEN kids > {MOST_CHILDREN} THEN '*' ELSE segs[{k + 1}] END END AS prefix"
-        levels.append(f"p{k + 1} AS (SELECT host, segs, n, k, {step} FROM p{k} LEFT JOIN c{k} USING (host, prefix))")
+    steps = []
+    for k in range(levels):
+        steps.append(f"c{k} AS (SELECT host, template, count(DISTINCT segs[{k + 1}]) AS kids FROM p{k} WHERE len(segs) > {k} GROUP BY host, template)")
+        step = f"CASE WHEN len(segs) <= {k} THEN template ELSE template || '/' || CASE WHEN kids > {MOST_CHILDREN} THEN '*' ELSE segs[{k + 1}] END END AS template"
+        steps.append(f"p{k + 1} AS (SELECT host, segs, n, k, {step} FROM p{k} LEFT JOIN c{k} USING (host, template))")
     return f"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -162,23 +178,31 @@ WITH u AS (
 ), f AS (
   SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS said, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM h
 ), s AS (
-  SELECT *, list_concat(list_transform(parts[1:{DEPTH}], lambda x: regexp_replace(x, '^[0-9]+($|\\.[a-z]+$)', '*\\1')), CASE WHEN len(parts) > {DEPTH} THEN ['**'] ELSE [] END) AS segs FROM f
+  SELECT *, list_transform(parts, lambda x: regexp_replace(x, '^[0-9]+($|\\.[a-z]+$)', '*\\1')) AS segs FROM f
 ), p0 AS (
-  SELECT host, segs, count(said) AS n, count(*) FILTER (said = 'block') AS k, '' AS prefix FROM s GROUP BY host, segs
-), {", ".join(levels)}, tree AS (
-  SELECT *, prefix || CASE WHEN len(segs) > {DEPTH} THEN '/**' ELSE '' END AS template FROM p{DEPTH}
+  SELECT host, segs, count(said) AS n, count(*) FILTER (said = 'block') AS k, '' AS template FROM s GROUP BY host, segs
+), {", ".join(steps)}, tree AS (
+  SELECT host, segs, n, k, template FROM p{levels}
 ), counts AS (
-  SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM tree GROUP BY host, template
+  SELECT host, template, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, string_split(substring(template, 2), '/') AS steps FROM tree GROUP BY host, template
+), passed AS (
+  SELECT host, template, n, k, level, CASE WHEN level = 0 THEN '' ELSE '/' || array_to_string(steps[1:level], '/') END AS node,
+         CASE WHEN level = 0 THEN NULL WHEN level = 1 THEN '' ELSE '/' || array_to_string(steps[1:level - 1], '/') END AS parent
+  FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS level FROM counts) x
+), nodes AS (
+  SELECT host, node, parent, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM passed GROUP BY host, node, parent
 ), shares AS (
-  SELECT *, CAST(sum(k) OVER (PARTITION BY host, parent) AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY host, parent), 1) AS share,
-         CAST(sum(k) OVER (PARTITION BY host) AS DOUBLE) / greatest(sum(n) OVER (PARTITION BY host), 1) AS prior
-  FROM counts
-), branches AS (
-  SELECT *, CASE WHEN n >= {LEAST} AND abs(k / greatest(n, 1) - share) <= {Z} * sqrt(share * (1 - share) / greatest(n, 1)) + 1e-9 THEN parent || '/+' ELSE template END AS branch FROM shares
+  SELECT a.host, a.node, a.parent, a.n, a.k, CAST(b.k AS DOUBLE) / greatest(b.n, 1) AS share FROM nodes a LEFT JOIN nodes b ON a.host = b.host AND a.parent = b.node
+), starts AS (
+  SELECT host, node FROM shares WHERE parent IS NULL OR NOT (n = 0 OR abs(CAST(k AS DOUBLE) / greatest(n, 1) - share) <= {Z} * sqrt(share * (1 - share) / greatest(n, 1)) + 1e-9)
+), ends AS (
+  SELECT p.host, p.template, arg_max(p.node, p.level) AS branch, first(p.n) AS n, first(p.k) AS k FROM passed p JOIN starts s ON s.host = p.host AND s.node = p.node GROUP BY p.host, p.template
+), hosts AS (
+  SELECT host, CAST(sum(k) AS DOUBLE) / greatest(sum(n), 1) AS prior FROM counts GROUP BY host
 ), pooled AS (
-  SELECT host, branch, sum(n) AS n, sum(k) AS k FROM branches GROUP BY host, branch
+  SELECT host, branch, sum(n) AS n, sum(k) AS k FROM ends GROUP BY host, branch
 ), rejected AS (
-  SELECT b.host, b.template FROM branches b JOIN pooled q USING (host, branch) WHERE q.n >= {LEAST} AND (q.k + {PRIOR} * b.prior) / (q.n + {PRIOR}) >= {REJECT}
+  SELECT e.host, e.template FROM ends e JOIN pooled q USING (host, branch) JOIN hosts USING (host) WHERE q.n >= {LEAST} AND (q.k + {PRIOR} * prior) / (q.n + {PRIOR}) >= {REJECT}
 )
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN r.template IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM s LEFT JOIN tree t ON t.host = s.host AND t.segs = s.segs LEFT JOIN rejected r ON r.host = t.host AND r.template = t.template
