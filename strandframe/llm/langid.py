@@ -14,9 +14,11 @@ smallest losses are close is flagged as ambiguous.
 N-grams are of four letters after mapping to lower case, other characters to one
 space, in the whole text, hashed to ``FEATURES`` numbers.
 
-The classifiers are fitted on a sample of at most about ``SAMPLE`` labelled texts per
-language, chosen by a hash of the row's content: the documented bound. What is gathered
-is the counts of n-grams by language, at most FEATURES x languages numbers.
+The classifiers are fitted on a sample of at most about ``SAMPLE`` distinct labelled
+texts per language, chosen by a hash of the text: the documented bound. A text counts
+once, however many copies it has. What is gathered is the counts of n-grams by language,
+at most FEATURES x languages numbers; languages are few, as names of them are, and the
+driver holds one row for each.
 """
 
 from __future__ import annotations
@@ -43,12 +45,19 @@ CLOSE = 0.05
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def features(text: str) -> np.ndarray:
-    """Numbers of a text's n-grams, in order; a text without letters has none."""
-    clean = _OTHER.sub(" ", text.lower()).strip()
-    if not any(map(str.isalpha, clean)):
-        return np.zeros(0, np.int64)
-    codes = np.frombuffer(f" {clean} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+#: Characters of a text that are mapped to n-grams at once, so that memory doesn't grow with it.
+PIECE = 1 << 20
+
+
+def clean(text: str) -> str:
+    """Lower case, other characters than letters as one space; empty without a letter."""
+    out = _OTHER.sub(" ", text.lower()).strip()
+    return out if any(map(str.isalpha, out)) else ""
+
+
+def grams(cleaned: str) -> np.ndarray:
+    """Numbers of the n-grams of a cleaned text, in order."""
+    codes = np.frombuffer(cleaned.encode("utf-32-le"), "<u4").astype(np.uint64)
     if len(codes) < GRAM:
         codes = np.concatenate([codes, np.full(GRAM - len(codes), 32, np.uint64)])
     h = np.zeros(len(codes) - GRAM + 1, np.uint64)
@@ -58,6 +67,15 @@ def features(text: str) -> np.ndarray:
     return (h % np.uint64(FEATURES)).astype(np.int64)
 
 
+def features(text: str):
+    """Numbers of a text's n-grams, in order, in arrays of at most PIECE; a text without letters has none."""
+    own = clean(text)
+    if own:
+        own = f" {own} "
+        for a in range(0, max(1, len(own) - GRAM + 1), PIECE):
+            yield grams(own[a : a + PIECE + GRAM - 1])
+
+
 def codewords(n: int) -> np.ndarray:
     """n codewords of bits, as rows of +1 and -1."""
     if n <= 1:
@@ -85,13 +103,12 @@ class Model:
     scale: np.ndarray
 
     def scores(self, text: str) -> np.ndarray | None:
-        found = features(text)
-        if not len(found):
-            return None
-        total = np.zeros(self.weights.shape[1])
-        for a in range(0, len(found), 1 << 16):
-            total += self.weights[found[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        return total / len(found)
+        total, n = np.zeros(self.weights.shape[1]), 0
+        for found in features(text):
+            n += len(found)
+            for a in range(0, len(found), 1 << 16):
+                total += self.weights[found[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        return total / n if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether it is ambiguous."""
@@ -133,21 +150,23 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on (text, lang); null lang or text is left out. At most about ``sample`` texts a language are read, by content hash."""
+    """Fits on (text, lang); null lang or text is left out. About ``sample`` distinct texts a language are learned from, by content hash."""
     labelled = training.select("text", "lang").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return fit_counts([], np.zeros((0, FEATURES)))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / sizes[lang]))])
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(place < share[F.col("lang")])
+    chosen = labelled.where(place < share[F.col("lang")]).distinct()
 
     def count(batches):
         total = np.zeros((len(langs), FEATURES), np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                total[langs.index(lang)] += np.bincount(features(text), minlength=FEATURES)
+            for part in slices(batch, "text"):
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                    for found in features(text):
+                        total[langs.index(lang)] += np.bincount(found, minlength=FEATURES)
         a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["lang", "gram", "n"])
 
@@ -177,14 +196,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is known and not ambiguous."""
+    """The rows of ``docs``, with all columns, whose language is known and not ambiguous.
+
+    A model of no languages, from a table without labels, can't tell: then all texts with
+    a letter stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [own.predict(x) for x in part.column("text").to_pylist()]
-                yield part.filter(pa.array([lang != UNKNOWN and not close for lang, _, close in found], pa.bool_()))
+                texts = part.column("text").to_pylist()
+                if own.langs:
+                    kept = [lang != UNKNOWN and not close for lang, _, close in map(own.predict, texts)]
+                else:
+                    kept = [any(map(str.isalpha, x or "")) for x in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -93,7 +93,7 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, media binary, times array<int>, codes array<int>): the WAV file of each text and its fingerprint.
+    """(doc_id, n_bytes, media binary, times array<int>, codes array<int>): the length and the WAV file of each text, and its fingerprint.
 
     Null texts are empty and become one frame of spaces; repeated rows stay.
     """
@@ -101,35 +101,33 @@ def media_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                media = [to_wav(payload_of(x)[1]) for x in part.column("text").to_pylist()]
+                made = [payload_of(x) for x in part.column("text").to_pylist()]
+                media = [to_wav(payload) for _, payload in made]
                 prints = [fingerprint(from_wav(x)) for x in media]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(media, pa.binary()), *(pa.array([p[k].astype(np.int32) for p in prints], pa.list_(pa.int32())) for k in (0, 1))],
-                    ["doc_id", "media", "times", "codes"],
-                )
+                arrays = [pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary()), *(pa.array([p[k].astype(np.int32) for p in prints], pa.list_(pa.int32())) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "n_bytes", "media", "times", "codes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids_type(docs)}, media binary, times array<int>, codes array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids_type(docs)}, n_bytes long, media binary, times array<int>, codes array<int>")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digests of what ``media_table`` holds, made in one pass without a shuffle.
+def media_digests(media: DataFrame) -> DataFrame:
+    """Digests of the rows of ``media_table``: its stored bytes are read back, and its arrays are taken as they are.
 
     feature: number of pairs, and the XXH64 of their times and codes.
     """
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    n, payload = payload_of(text)
-                    media = to_wav(payload)
-                    back = from_wav(media)
-                    t, c = fingerprint(back)
-                    digest = xxhash.xxh64(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(t)}:{digest}"))
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", *names])
-
-    schema = f"doc_id {ids_type(docs)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            rows = []
+            for k in range(len(batch)):
+                stored = batch.column("media")[k].as_py()
+                back = from_wav(stored)
+                t, c = (np.asarray(batch.column(x)[k].values) for x in ("times", "codes"))
+                digest = xxhash.xxh64(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(t)}:{digest}"))
+            if rows:
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_bytes", *names])
+
+    schema = f"doc_id {ids_type(media)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return media.mapInArrow(run, schema)

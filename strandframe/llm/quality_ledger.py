@@ -116,7 +116,7 @@ def kept_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     return verdicts(inner, policy).where("kept").select("doc_id.*")
 
 
-SQL = r"""
+_MEASURED_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -136,11 +136,31 @@ WITH w AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(length(regexp_replace(text, '[^!]', '', 'g')) AS BIGINT) AS n_marks
   FROM w LEFT JOIN repeats r ON r.doc_id = w.doc_id
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_marks > 3 * n_words) AS kept
-FROM m
+)"""
+
+
+def _ledger_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(RULES))
+    return f"{_MEASURED_SQL}, l AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)"
+
+
+def verdict_sql(policy: str = "v1") -> str:
+    """``verdicts`` as SQL, without the measurements that only rules use."""
+    base, own = mask(POLICIES["base"]), mask(POLICIES[policy])
+    return f"""{_ledger_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed, fail_bits & {base | own} = 0 AS kept, fail_bits
+FROM l
 """
+
+
+def ablation_sql(policy: str = "v1") -> str:
+    """``ablations`` as SQL."""
+    own = mask(POLICIES[policy])
+    each = " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) FILTER (fail_bits & {mask([name])} <> 0) AS n_failed, count(*) FILTER (fail_bits & {own} = {mask([name])}) AS n_failed_alone, count(*) FILTER (fail_bits & {own ^ mask([name])} = 0) AS n_passed_without FROM l"
+        for name in POLICIES[policy]
+    )
+    return f"{_ledger_sql()}\n{each}\n"

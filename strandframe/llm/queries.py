@@ -23,7 +23,12 @@ def op3_simhash(spark, sf_dir):
 
 def op4_quality_ledger(spark, sf_dir):
     found = quality_ledger.verdicts(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def quality_ablations(spark, sf_dir):
+    """What each rule of the policy adds to the others, from the ledger."""
+    return quality_ledger.ablations(quality_ledger.ledger(table(spark, sf_dir, "documents")))
 
 
 def op5_language_codes(spark, sf_dir):
@@ -33,7 +38,7 @@ def op5_language_codes(spark, sf_dir):
 
 
 def op6_media_columns(spark, sf_dir):
-    return media.media_digests(table(spark, sf_dir, "documents"))
+    return media.media_digests(media.media_table(table(spark, sf_dir, "documents")))
 
 
 def op7_url_templates(spark, sf_dir):
@@ -64,9 +69,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_lm_difference": op10_lm_difference,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_quality_ledger": quality_ledger.SQL,
+    "op4_quality_ledger": quality_ledger.verdict_sql(),
+    "quality_ablations": quality_ledger.ablation_sql(),
     "op7_url_templates": url_templates.sql(),
 }

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from strandframe.llm import langid, lm_score, media, quality_ledger, queries, url_templates
 
@@ -51,10 +53,18 @@ def test_quality_sql_and_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
     names = sorted(df.columns)
     got = sorted(tuple(r[c] for c in names) for r in df.collect())
-    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({quality_ledger.SQL})").fetchall())
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({quality_ledger.verdict_sql()})").fetchall())
     assert got == want
 
 
+def test_ablations_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    df = queries.quality_ablations(spark, DATA)
+    got = sorted(tuple(r[c] for c in ("rule", "n_failed", "n_failed_alone", "n_passed_without")) for r in df.collect())
+    assert got == sorted(con.sql(f"SELECT rule, n_failed, n_failed_alone, n_passed_without FROM ({quality_ledger.ablation_sql()})").fetchall())
+
+
 def test_quality_policies_and_ablations(spark):
     rows = spark.createDataFrame([(0,), (1,), (3,), (4,), (4,), (12,), (16,)], "fail_bits long")
     got = {r.rule: tuple(r)[1:] for r in quality_ledger.ablations(rows, "v1").collect()}
@@ -100,7 +110,7 @@ def test_language_learns_from_training_rows_only(spark):
 
 def test_language_of_awkward_texts(spark):
     model = langid.fit_counts(
-        ["en", "fr"], np.array([np.bincount(langid.features(t), minlength=langid.FEATURES) for t in ("the cat and the dog", "le chat et le chien")])
+        ["en", "fr"], np.array([np.bincount(np.concatenate(list(langid.features(t))), minlength=langid.FEATURES) for t in ("the cat and the dog", "le chat et le chien")])
     )
     got = {r.doc_id: r for r in langid.predict(frame(spark, AWKWARD), model).collect()}
     for i, t in enumerate(AWKWARD):
@@ -124,9 +134,105 @@ def test_language_without_training(spark):
     assert [r.lang_pred for r in langid.predict(frame(spark, ["abc", None]), model).collect()] == ["und", "und"]
 
 
+def test_without_labels_no_text_with_letters_goes(spark):
+    model = langid.fit(frame(spark, ["a"]).where("false"))
+    kept = langid.known_documents(frame(spark, ["abc", None, "12 3", "", "ñ"]), model).collect()
+    assert [r.text for r in kept] == ["abc", "ñ"]
+
+
+def plain_features(text):
+    clean = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    if not any(c.isalpha() for c in clean):
+        return []
+    padded = f" {clean} ".ljust(4)
+    out = []
+    for i in range(len(padded) - 3):
+        h = 0
+        for c in padded[i : i + 4]:
+            h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % (1 << 64)
+            h ^= h >> 29
+        out.append(h % (1 << 17))
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    """Counts, codes, classifiers and decoding again in plain Python, over the whole table."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in docs}
+    learned = {(lang, t) for i, t, lang in docs if lang is not None and t is not None and not held[i]}
+    langs = sorted({lang for lang, _ in learned})
+    n = {lang: Counter() for lang in langs}
+    for lang, t in learned:
+        n[lang].update(plain_features(t))
+    size = 1 << 17
+    total = {lang: sum(n[lang].values()) + 0.5 * size for lang in langs}
+    # every split of the languages once, the first language always on the side of +1
+    splits = [(1, *x) for x in itertools.product((1, -1), repeat=len(langs) - 1) if -1 in x]
+    bits = []
+    for code in splits:
+        def odds(g, code=code):
+            side = {s: [(n[lang][g] + 0.5) / total[lang] for lang, c in zip(langs, code, strict=True) if c == s] for s in (1, -1)}
+            return math.log(sum(side[1]) / len(side[1])) - math.log(sum(side[-1]) / len(side[-1]))
+
+        rest = odds(-1)  # of an n-gram that no language has
+        seen = {g: odds(g) for g in set().union(*n.values())}
+        means = [sum((n[lang][g] + 0.5) / total[lang] * w for g, w in seen.items()) + (size - len(seen)) * 0.5 / total[lang] * rest for lang in langs]
+        low = min(m for m, c in zip(means, code, strict=True) if c > 0)
+        high = max(m for m, c in zip(means, code, strict=True) if c < 0)
+        bits.append((code, seen, rest, (low + high) / 2, max(low - high, 1e-6)))
+    worth = sum(b[4] for b in bits)
+    got = {r.doc_id: r for r in queries.op5_language_codes(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        found = plain_features(t or "")
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        loss = [0.0] * len(langs)
+        for code, seen, rest, centre, gap in bits:
+            s = sum(seen.get(g, rest) - centre for g in found) / len(found) * 4 / gap
+            for k, c in enumerate(code):
+                loss[k] += gap / worth * len(bits) * math.log1p(math.exp(-c * s))
+        best = min(range(len(langs)), key=loss.__getitem__)
+        p = 1 / sum(math.exp(loss[best] - x) for x in loss)
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - p) < 1e-4, i
+        assert got[i].held_out == held[i]
+
+
+def plain_pairs(payload):
+    """Times and codes by a Fourier sum written out."""
+    angle = -2j * math.pi / 192
+    waves = np.exp(angle * np.outer(np.arange(192), np.arange(97)))
+    tops = []
+    for a in range(0, len(payload), 192):
+        frame_of = [(payload[a + j] - 128) * (0.5 - 0.5 * math.cos(2 * math.pi * j / 191)) for j in range(192)]
+        power = np.abs(np.array(frame_of) @ waves)
+        tops.append([])
+        for low, high in ((1, 6), (6, 12), (12, 24), (24, 48), (48, 97)):
+            k = max(range(low, high), key=lambda b: power[b])
+            tops[-1].append(k if power[k] > power[1:].mean() else 0)
+    out = []
+    for t, own in enumerate(tops):
+        for step in (1, 2):
+            if t + step < len(tops):
+                for k, a in enumerate(own):
+                    out += [(t, (a * 128 + b) * 4 + step) for b in tops[t + step][k : k + 2] if a and b]
+    return sorted(out)
+
+
+def test_media_features_equal_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.feature for r in queries.op6_media_columns(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        found = plain_pairs(media.payload_of(r.text)[1])
+        raw = b"".join(t.to_bytes(4, "little") for t, _ in found) + b"".join(c.to_bytes(4, "little") for _, c in found)
+        assert got[r.doc_id] == f"{len(found)}:{xxhash.xxh64(raw).hexdigest()}", r.doc_id
+
+
 def test_media(spark):
     texts = [*AWKWARD, "é" * 96, "a" * 192, "a" * 193]
-    got = {r.doc_id: r for r in media.media_digests(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in media.media_digests(media.media_table(frame(spark, texts))).collect()}
     stored = {r.doc_id: r for r in media.media_table(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
@@ -138,7 +244,7 @@ def test_media(spark):
         assert (r.media_bytes, r.media_sha256) == (len(s.media), hashlib.sha256(bytes(s.media)).hexdigest())
         assert list(s.times) == sorted(s.times) and len(s.times) == len(s.codes) == int(r.feature.split(":")[0])
     assert len({r.feature for i, r in got.items() if not (texts[i] or "").strip(" ")}) <= 2
-    assert media.media_digests(frame(spark, ["a"]).where("false")).count() == 0
+    assert media.media_digests(media.media_table(frame(spark, ["a"]).where("false"))).count() == 0
 
 
 def test_peaks_find_a_tone():
@@ -189,36 +295,42 @@ def test_url_rules(spark):
 def plain_templates(rows):
     """host, path, bad (or None) to the paths that are rejected; the method again, without Spark."""
     def segs(path):
-        parts = [re.sub(r"^[0-9]+(?=$|\.[a-z]+$)", "*", s) for s in re.sub("^/", "", path).split("/")]
-        return (*parts[:4], "**") if len(parts) > 4 else tuple(parts)
+        return tuple(re.sub(r"^[0-9]+(?=$|\.[a-z]+$)", "*", s) for s in re.sub("^/", "", path).split("/"))
 
     paths = {(h, segs(p)) for h, p, _ in rows}
-    prefix = dict.fromkeys(paths, "")
-    for level in range(4):
+    template = dict.fromkeys(paths, ())
+    for level in range(max(len(s) for _, s in paths)):
         kids = {}
         for h, s in paths:
-            if len(s) > level and not (level == 4):
-                kids.setdefault((h, prefix[h, s]), set()).add(s[level])
-        prefix = {(h, s): prefix[h, s] + (("/" + ("*" if len(kids[h, prefix[h, s]]) > url_templates.MOST_CHILDREN else s[level])) if len(s) > level else "") for h, s in paths}
-    template = {k: v + ("/**" if len(k[1]) > 4 else "") for k, v in prefix.items()}
-    n, k, hn, hk, pn, pk = (Counter() for _ in range(6))
+            if len(s) > level:
+                kids.setdefault((h, template[h, s]), set()).add(s[level])
+        template = {(h, s): t + (("*" if len(kids[h, t]) > url_templates.MOST_CHILDREN else s[level],) if len(s) > level else ()) for (h, s), t in template.items()}
+    n, k, own, bad_own = (Counter() for _ in range(4))
     for h, p, bad in rows:
+        t = template[h, segs(p)]
         if bad is not None:
-            t = template[h, segs(p)]
-            up = re.sub("/[^/]*$", "", t)
-            for c, b, at in ((n, k, (h, t)), (hn, hk, h), (pn, pk, (h, up))):
-                c[at] += 1
-                b[at] += bad
-    branch, bn, bk = {}, Counter(), Counter()
-    for (h, s), t in template.items():
-        up = re.sub("/[^/]*$", "", t)
-        share = pk[h, up] / max(1, pn[h, up])
-        alike = n[h, t] >= 5 and abs(k[h, t] / n[h, t] - share) <= 1.96 * math.sqrt(share * (1 - share) / n[h, t]) + 1e-9
-        branch[h, t] = (h, up + "/+") if alike else (h, t)
-    for at, b in branch.items():
-        bn[b] += n[at]
-        bk[b] += k[at]
-    gone = {at for at, b in branch.items() if bn[b] >= 5 and (bk[b] + 4 * hk[at[0]] / max(1, hn[at[0]])) / (bn[b] + 4) >= 0.8}
+            own[h, t] += 1
+            bad_own[h, t] += bad
+            for j in range(len(t) + 1):
+                n[h, t[:j]] += 1
+                k[h, t[:j]] += bad
+
+    def branch(h, t):
+        """The node itself or the nearest one above that differs from its own parent."""
+        while t:
+            if n[h, t]:
+                share = k[h, t[:-1]] / n[h, t[:-1]]
+                if abs(k[h, t] / n[h, t] - share) > 1.96 * math.sqrt(share * (1 - share) / n[h, t]) + 1e-9:
+                    return h, t
+            t = t[:-1]
+        return h, t
+
+    ends = {(h, t): branch(h, t) for (h, _), t in template.items()}
+    bn, bk = Counter(), Counter()
+    for at, b in ends.items():
+        bn[b] += own[at]
+        bk[b] += bad_own[at]
+    gone = {at for at, b in ends.items() if bn[b] >= 5 and (bk[b] + 4 * k[at[0], ()] / max(1, n[at[0], ()])) / (bn[b] + 4) >= 0.8}
     return {(h, p) for h, p, _ in rows if (h, template[h, segs(p)]) in gone}
 
 
@@ -239,6 +351,24 @@ def test_templates_equal_a_plain_version(spark):
     assert all("ads" in p for _, p in gone)
 
 
+def test_templates_decide_pages_without_a_rule(spark):
+    """On the table: pages of hosts whose labelled pages are nearly all blocked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_templates.judge(pages).collect()
+    gone = {(r.host, r.path) for r in rows if r.rule is None and r.verdict == "block"}
+    said = {r.page_id: r.verdict == "block" for r in rows if r.rule}
+    plain = plain_templates([(r.host, r.path, said.get(r.page_id)) for r in rows])
+    assert gone and gone == {(r.host, r.path) for r in rows if r.rule is None and (r.host, r.path) in plain}
+
+
+def test_templates_of_deep_and_odd_paths(spark):
+    urls = ["http://h/" + "/".join(["a"] * 9 + [str(i)]) for i in range(30)] + ["http://h", "http://h/", "http://h//", "http://h/a//b", None, "none"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, True) for i in range(12)] + [(30, False), (31, False), (32, False)], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in url_templates.judge(pages, (), labels).collect()}
+    assert all(got[i] == "block" for i in range(30)) and all(got[i] == "allow" for i in (34, 35))
+
+
 def test_url_plan_has_no_python(spark):
     plan = queries.op7_url_templates(spark, DATA)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
