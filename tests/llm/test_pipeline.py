@@ -2,6 +2,7 @@ import corpus_pipeline
 from strandframe.llm import queries
 from strandframe.llm.common import stored
 from tests.llm import brute
+from tests.llm.test_near_copies import kept_plainly
 from tests.llm.test_rows import plain_measures
 from tests.llm.test_tokens import _LIB, BYTES, check_packing
 
@@ -18,9 +19,7 @@ def test_stages_equal_plain_versions(spark):
     kept = {r.doc_id for r in queries.op4_quality_ledger(spark, DATA).where("kept").collect()}
     assert set(texts[1]) == kept and all(plain_measures(t)[0] >= 50 for t in texts[1].values())
     assert set(texts[2]) <= set(texts[1]) and len(texts[2]) >= 0.99 * len(texts[1])
-    ids = sorted(texts[2])
-    want = brute.component_ids(ids, [brute.fingerprint(texts[2][i]) for i in ids])
-    assert set(texts[3]) == set(want)
+    assert set(texts[3]) == kept_plainly(texts[2])
     ids = sorted(texts[3])
     for i, (n, gone, _, _) in zip(ids, brute.removed([texts[3][i] for i in ids], corpus_pipeline.PASSAGE_BYTES), strict=True):
         left = len(texts[4][i].encode())
