@@ -12,6 +12,7 @@ the column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,23 @@ class Fuzzy:
         return min(self.k / max(1, len(pattern)), 1.0) if self.max_n_frac is None else self.max_n_frac
 
 
+#: Letters, with what pads them, that are worked on at once.
+CELLS = 1 << 21
+ROWS = 4096
+
+
+def groups(texts: list[str]) -> Iterator[list[int]]:
+    """Places of all texts, in groups of similar length, so that no padded group is much larger than CELLS or one text."""
+    own: list[int] = []
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k])):
+        if own and (len(own) == ROWS or (len(own) + 1) * len(texts[k]) > CELLS):
+            yield own
+            own = []
+        own.append(k)
+    if own:
+        yield own
+
+
 def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts, one row each, 0 behind the end, and the lengths."""
     raws = [x.encode("latin-1", "replace") for x in texts]
@@ -74,10 +92,17 @@ def end_costs(letters: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray
 
 def matches(texts: list[str], pattern: str, how: Fuzzy) -> list[list[tuple[int, int, int]]]:
     """(start, end, cost) of every match in each text."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if pattern:
+        for own in groups(texts):
+            for k, found in zip(own, _matches([texts[k] for k in own], pattern, how), strict=True):
+                out[k] = found
+    return out
+
+
+def _matches(texts: list[str], pattern: str, how: Fuzzy) -> list[list[tuple[int, int, int]]]:
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     letters, lengths = padded(texts)
-    if not len(texts) or not pattern:
-        return out
     costs, starts = end_costs(letters, pattern)
     limit = how.n_limit(pattern)
     isn = np.concatenate([np.zeros((len(texts), 1), int), np.cumsum((letters | 32) == ord("n"), axis=1)], axis=1)
@@ -101,11 +126,7 @@ def fuzzy_any(seq: Column, pattern: str, how: Fuzzy) -> Column:
 
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        filled = texts.fillna("")
-        out = np.zeros(len(filled), bool)
-        for a in range(0, len(filled), 4096):
-            part = filled.iloc[a : a + 4096].tolist()
-            out[a : a + 4096] = [bool(x) and len(t) > 0 for x, t in zip(matches(part, pattern, how), part, strict=True)]
-        return pd.Series(out)
+        own = texts.fillna("").tolist()
+        return pd.Series([bool(x) and len(t) > 0 for x, t in zip(matches(own, pattern, how), own, strict=True)], dtype=bool)
 
     return found(seq)

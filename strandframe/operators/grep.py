@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import seq as fn
 from strandframe.functions.fuzzy import matches
-from strandframe.plans.matching import Plan, Search, in_span, plan
+from strandframe.plans.matching import Plan, Search, in_span, java_regex, plan
 from strandframe.schema import is_paired
 
 try:
@@ -124,14 +123,25 @@ def pattern_counts(df: DataFrame, s: Search, many: int = MANY, how: str | None =
 
 
 def _regex_spans(column: Column, text: str, shift: int) -> Column:
-    """Places of a regular expression that don't overlap."""
-    compiled = re.compile(text)
+    """Places of a regular expression that don't overlap: what is between the matches gives where they start.
 
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"a": m.start() + shift, "b": m.end() + shift} for m in compiled.finditer(t or "")])
-
-    return found(column)
+    A match without letters counts unless it stands right behind another match.
+    """
+    made = F.lit(java_regex(text))
+    found = F.regexp_extract_all(column, made, F.lit(0))
+    between = F.split(column, made, -1)
+    # nothing stands before a match without letters at the start, and split leaves that out
+    between = F.when(F.size(between) > F.size(found), between).otherwise(F.concat(F.array(F.lit("")), between))
+    each = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("last"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + F.length(x["gap"])
+        b = a + F.length(x["match"])
+        kept = F.when((a == b) & (acc["last"] == a), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((a + shift).alias("a"), (b + shift).alias("b")))))
+        return F.struct(b.alias("at"), b.alias("last"), kept.alias("out"))
+
+    return F.aggregate(each, none, step, lambda acc: acc["out"])
 
 
 def _fuzzy_spans(column: Column, text: str, how, shift: int) -> Column:

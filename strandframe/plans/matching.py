@@ -11,6 +11,9 @@ import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,23 +60,61 @@ def complemented(p: Pattern) -> Pattern:
     return replace(p, text=p.text[::-1].translate(str.maketrans("ACGT", "TGCA")))
 
 
+#: Bracketed class names and what they are in Java.
+POSIX = {
+    "alnum": "\\p{Alnum}", "alpha": "\\p{Alpha}", "ascii": "\\p{ASCII}", "blank": "\\p{Blank}", "cntrl": "\\p{Cntrl}", "digit": "0-9", "graph": "\\p{Graph}", "lower": "a-z",
+    "print": "\\p{Print}", "punct": "\\p{Punct}", "space": "\\t\\n\\x0B\\f\\r ", "upper": "A-Z", "word": "\\w", "xdigit": "\\p{XDigit}",
+}
+_PROPERTY = re.compile(r"\\([pP])(?:\{(\^?)(?:(sc|scx|script|gc)=)?([A-Za-z_ ]+)\}|([A-Z]))")
+
+
+def _property(found: re.Match) -> str:
+    """A Unicode class: categories have one or two letters, everything else is a script or binary property."""
+    letter, caret, kind, name, short = found.groups()
+    name = short or name
+    if caret:
+        letter = "P" if letter == "p" else "p"
+    plain = kind == "gc" or (kind is None and len(name) <= 2)
+    return f"\\{letter}{{{name if plain else 'Is' + name}}}"
+
+
 def java_regex(text: str) -> str:
-    """A linear-time expression in Java's syntax. What such engines don't have is refused; ``$`` matches at the very end only."""
+    """A linear-time expression in Java's syntax. What such engines don't have is refused; ``$`` matches at the very end only.
+
+    Search and hit places both use the result. Java's engine backtracks, so nested
+    repetitions can still be slow.
+    """
     out, i, in_class = [], 0, 0
     while i < len(text):
         c = text[i]
         if c == "\\":
-            if i + 1 < len(text) and (text[i + 1].isdigit() or text[i + 1] in "kGZ"):
+            if found := _PROPERTY.match(text, i):
+                out.append(_property(found))
+                i = found.end()
+                continue
+            if i + 1 < len(text) and (text[i + 1].isdigit() or text[i + 1] in "kGZQEXRNhHVcek"):
                 raise ValueError(f"back references and the like aren't supported: {text!r}")
-            out.append(text[i : i + 2])
+            out.append("\\x0B" if text[i : i + 2] == "\\v" else text[i : i + 2])
             i += 2
             continue
         if in_class:
+            if found := re.compile(r"\[:(\^?)([a-z]+):\]").match(text, i):
+                if found[2] not in POSIX:
+                    raise ValueError(f"unknown class {found[0]!r}: {text!r}")
+                out.append(f"[^{POSIX[found[2]]}]" if found[1] else POSIX[found[2]])
+                i = found.end()
+                continue
+            if text.startswith(("--", "~~"), i):
+                raise ValueError(f"differences of classes aren't supported: {text!r}")
             in_class += (c == "[") - (c == "]")
         elif c == "[":
             in_class = 1
-        elif text.startswith(("(?=", "(?!", "(?<=", "(?<!", "(?>"), i):
-            raise ValueError(f"look-around isn't supported: {text!r}")
+            opened = re.compile(r"\[\^?\]?").match(text, i)[0]  # a bracket right behind stands for itself
+            out.append(opened.replace("]", "\\]"))
+            i += len(opened)
+            continue
+        elif text.startswith(("(?=", "(?!", "(?<=", "(?<!", "(?>", "(?P=", "(?P>"), i):
+            raise ValueError(f"look-around and references aren't supported: {text!r}")
         elif text.startswith("(?P<", i):
             out.append("(?<")
             i += 4
@@ -85,10 +126,12 @@ def java_regex(text: str) -> str:
         out.append(c)
         i += 1
     made = "".join(out)
-    try:
-        re.compile(made.replace("\\z", "\\Z").replace("(?<", "(?P<") if "(?<" in made else made.replace("\\z", "\\Z"))
-    except re.error as e:
-        raise ValueError(f"not a regular expression: {text!r}: {e}") from e
+    context = SparkContext._active_spark_context
+    if context is not None:  # the engine that will run it says whether it is one
+        try:
+            context._jvm.java.util.regex.Pattern.compile(made)
+        except (Py4JJavaError, PySparkException) as e:
+            raise ValueError(f"not a regular expression: {text!r}: {e}") from e
     return made
 
 

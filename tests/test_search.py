@@ -1,5 +1,8 @@
 """Search on four pairs of reads, with every expectation written out."""
 
+import random
+import re
+
 import pytest
 
 from strandframe.functions.fuzzy import Fuzzy, matches
@@ -176,3 +179,55 @@ def test_pattern_files():
     assert parse("x\tGATTA\ny\tCCCC\n", "primary") == [Pattern("GATTA", "primary", "x"), Pattern("CCCC", "primary", "y")]
     assert parse("GATTA\n\n  \nCCCC\n") == [Pattern("GATTA"), Pattern("CCCC")]
     assert parse("") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("[[:digit:]]{2}", ["r10", "x99y"]), ("r[^[:digit:]]", ["dr g"]), ("[[:alpha:]_]{5}", ["digit"]), (r"\pN\pN", ["r10", "x99y"]), (r"\p{Greek}", ["αβ"]), (r"\p{Lu}", ["ÄB"]),
+        (r"[]x]9", ["x99y"]), (r"(?P<a>r)1", ["r10"]), ("(?<a>x)9", ["x99y"]), ("[[:^alpha:]]g", ["dr g"]),
+    ],
+)
+def test_classes_and_groups(spark, text, want):
+    texts = ["r10", "digit", "x99y", "αβ", "ÄB", "dr g", ""]
+    df = spark.createDataFrame([(i, t, "A") for i, t in enumerate(texts)], "idx long, s_header string, s_seq string")
+    got = [r.s_header for r in grep.matching(df, search([text], header=True)).orderBy("idx").collect()]
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["AC", "A[CG]", "(?<x>AC)G?", "A*", "G|", "C$", "^A", "N+?", "(AC)+"])
+def test_regex_spans_equal_a_plain_version(spark, text):
+    rng = random.Random(3)
+    seqs = ["", "A", "AC", "ACAC", "NNN", *("".join(rng.choice("ACGN") for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    df = spark.createDataFrame([(i, f"h{i}", t) for i, t in enumerate(seqs)], "idx long, s_header string, s_seq string")
+    got = {r.idx: [(x.a, x.b) for x in r.s_spans] for r in grep.spans(df, search([text])).collect()}
+    plain = re.compile(text.replace("(?<x>", "(?P<x>").replace("$", r"\Z"))
+    for i, t in enumerate(seqs):
+        want, last = [], -1
+        for m in plain.finditer(t):
+            if m.start() < m.end() or m.start() != last:
+                want.append((m.start(), m.end()))
+            last = m.end()
+        assert got.get(i, []) == (want if t else []), (text, t)
+
+
+def test_one_long_read_among_many_needs_little_memory():
+    import resource
+
+    from strandframe.functions import fuzzy
+
+    texts = ["ACGT" * 40] * 4096 + ["ACGTTTGA" * 125_000]
+    most = max(max(len(texts[k]) for k in own) * len(own) for own in fuzzy.groups(texts))
+    assert most <= 1_000_000 and sorted(k for own in fuzzy.groups(texts) for k in own) == list(range(len(texts)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = fuzzy.matches([texts[0], "ACGTTTGA" * 12_500], "GATTTG", fuzzy.Fuzzy(1))
+    assert len(found) == 2 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
+def test_positions_of_a_long_read(spark):
+    from strandframe.operators import qc
+
+    rows = [(i, "ACGN"[: 1 + i % 4]) for i in range(50)] + [(50, "AC" * 10_000)]
+    df = spark.createDataFrame(rows, "idx long, s_seq string").repartition(2)
+    got = {r.pos: (r.a, r.c, r.n) for r in qc.base_content(df).collect()}
+    assert len(got) == 20_000 and got[0] == (51, 0, 0) and got[19_999] == (0, 1, 0) and got[19_998] == (1, 0, 0) and got[1] == (0, 38, 0)
