@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,11 +123,11 @@ def parser() -> argparse.ArgumentParser:
 
     p = sub.add_parser("pipe")
     p.add_argument("input")
-    p.add_argument("-p", "--pipes", type=int, default=1)
+    p.add_argument("-p", "--pipes", type=int, default=0, help="0: as many as there are processors")
     p.add_argument("-b", "--basename", default="reads")
     p.add_argument("-f", "--format", default="fastq")
     p.add_argument("--span")
-    how = p.add_mutually_exclusive_group(required=True)
+    how = p.add_mutually_exclusive_group()
     how.add_argument("-x", "--exec")
     how.add_argument("-X", "--exec-once")
     p.add_argument("--folder", default=".")
@@ -156,6 +157,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _span(df: DataFrame, a: argparse.Namespace) -> parse.Span:
+    """The span; one that starts behind the last read is an error, before anything is written."""
+    span = parse.span(a.span)
+    checked_span(df, span)
+    return span
+
+
 def _search(a: argparse.Namespace, **flags) -> Search:
     given = [x for scope, paths in (("either", a.file), ("primary", a.sfile), ("extended", a.xfile)) for path in paths for x in patterns.load(path, scope)]
     fuzzy = Fuzzy(a.distance, a.inexact, a.max_n_frac) if a.fuzzy else None
@@ -194,9 +202,7 @@ def _encode(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _grep(spark: SparkSession, a: argparse.Namespace) -> None:
     df = variants.read_set(spark, a.input).df
-    span = parse.span(a.span)
-    s = _search(a, logic="or" if a.or_logic else "and", invert=a.invert, header=a.header, mate=a.mate, within=parse.base_range(a.range), span=span)
-    checked_span(df, span)
+    s = _search(a, logic="or" if a.or_logic else "and", invert=a.invert, header=a.header, mate=a.mate, within=parse.base_range(a.range), span=_span(df, a))
     if a.pattern_count:
         print("name\tcount\tfrac_total")
         for r in grep.pattern_counts(df, s).collect():
@@ -214,7 +220,7 @@ def _split(spark: SparkSession, a: argparse.Namespace) -> None:
     if not (a.file or a.sfile or a.xfile):
         raise ValueError("patterns come from a file")
     found = variants.read_set(spark, a.input)
-    s = _search(a, span=parse.span(a.span))
+    s = _search(a, span=_span(found.df, a))
     names = {"unmatched": a.unmatched_basename, "skip_unmatched": a.skip_unmatched}
     out = combine.split(found.df, s, a.min_records, **names)
     for r in combine.tallies(found.df, s, **names).collect():
@@ -225,7 +231,7 @@ def _split(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _sample(spark: SparkSession, a: argparse.Namespace) -> None:
     found = variants.read_set(spark, a.input)
-    span = parse.span(a.span)
+    span = _span(found.df, a)
     df = transform.sample_fraction(found.df, a.fraction, a.seed, span) if a.fraction else transform.sample_number(found.df, a.number, a.seed, span)
     if a.output and parse.variant_of(a.output):
         parse.output_variant(a.output, None, found.meta.variant)
@@ -236,19 +242,23 @@ def _sample(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _pipe(spark: SparkSession, a: argparse.Namespace) -> None:
     df = variants.read_set(spark, a.input).df
+    n, span = a.pipes or os.cpu_count() or 1, _span(df, a)
+    if not (a.exec or a.exec_once):
+        pipe.serve(df, n, os.path.join(a.folder, a.basename), a.format, span)
+        return
     pipe.channels(a.exec or a.exec_once, is_paired(df))
     if a.exec:
-        for r in pipe.per_shard(df, a.exec, a.pipes, a.format, a.basename, parse.span(a.span)).orderBy("shard").collect():
+        for r in pipe.per_shard(df, a.exec, n, a.format, a.basename, span).orderBy("shard").collect():
             sys.stdout.write(r["output"])
     else:
-        sys.stdout.write(pipe.once(df, a.exec_once, a.pipes, a.folder, a.format, a.basename, parse.span(a.span)).stdout)
+        sys.stdout.write(pipe.once(df, a.exec_once, n, a.folder, a.format, a.basename, span).stdout)
 
 
 def _verify(spark: SparkSession, a: argparse.Namespace) -> None:
     out = []
     for path in a.inputs:
         df = variants.read_set(spark, path).df
-        r = verify.checksum(df, parse.span(a.span), mate=a.mate, skip_seq=a.skip_seq, skip_qual=a.skip_qual, skip_headers=a.skip_headers, skip_flags=a.skip_flags).first()
+        r = verify.checksum(df, _span(df, a), mate=a.mate, skip_seq=a.skip_seq, skip_qual=a.skip_qual, skip_headers=a.skip_headers, skip_flags=a.skip_flags).first()
         out.append({"checksum": r["checksum"], "records": r["n"], "path": path})
     if a.json:
         print(json.dumps(out[0] if len(out) == 1 else out))
@@ -258,6 +268,20 @@ def _verify(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _info(a: argparse.Namespace) -> None:
+    if a.show_headers:
+        shown = 0
+        for path in a.inputs:
+            try:
+                blocks = variants.block_headers(path)
+            except (OSError, ValueError, KeyError) as e:
+                print(f"{path} is left out: {e}", file=sys.stderr)
+                continue
+            shown += 1
+            for b in blocks:
+                print(json.dumps(b))
+        if not shown:
+            raise ValueError("none of the inputs is a readable cbq set")
+        return
     found, bad = variants.infos(a.inputs, a.show_index)
     for p in bad:
         print(f"{p} can't be read", file=sys.stderr)
@@ -281,18 +305,18 @@ def main(argv: list[str] | None = None) -> int:
             _encode(spark, a)
         elif a.command == "decode":
             df = variants.read_set(spark, a.input).df
-            _write_text(checked_span(df, parse.span(a.span)), a)
+            _write_text(in_span(df, _span(df, a)), a)
         elif a.command == "cat":
             out = combine.cat([variants.read_set(spark, p) for p in a.inputs])
             parse.output_variant(a.output, None, out.meta.variant)
             variants.write_set(out.df, a.output, out.meta)
         elif a.command == "qc":
             df = variants.read_set(spark, a.input).df
-            report.report(df, a.output, a.input, parse.span(a.span), tuple(a.skip), a.dup_sample_size, a.overrep_threshold, a.json)
+            report.report(df, a.output, a.input, _span(df, a), tuple(a.skip), a.dup_sample_size, a.overrep_threshold, a.json)
         elif a.command == "revcomp":
             found = variants.read_set(spark, a.input)
             parse.output_variant(a.output, None, found.meta.variant)
-            variants.write_set(transform.revcomp(in_span(found.df, parse.span(a.span)), a.mate), a.output, found.meta)
+            variants.write_set(transform.revcomp(in_span(found.df, _span(found.df, a)), a.mate), a.output, found.meta)
         else:
             {"grep": _grep, "split": _split, "sample": _sample, "pipe": _pipe, "verify": _verify}[a.command](spark, a)
         return 0

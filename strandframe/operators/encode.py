@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import logging
-import os
-import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +13,7 @@ from strandframe.plans.numbering import numbered_as_read
 from strandframe.plans.parse import encoded_name, input_format, output_variant
 from strandframe.schema import Meta
 from strandframe.sources import fastx, files, sam
-from strandframe.sources.variants import write_set
+from strandframe.sources.variants import exists, remove, write_set
 
 log = logging.getLogger(__name__)
 
@@ -104,7 +102,7 @@ def run(spark: SparkSession, jobs: list[Job], meta: Meta, policy: str = "r", giv
     """
     out = {}
     for job in jobs:
-        there = os.path.exists(job.output)
+        there = exists(job.output)
         try:
             if there:
                 raise ValueError(f"{job.output!r} is there already")
@@ -117,7 +115,7 @@ def run(spark: SparkSession, jobs: list[Job], meta: Meta, policy: str = "r", giv
             out[job.output] = {"written": written, "skipped": n - written}
         except Exception:
             if not there:
-                shutil.rmtree(job.output, ignore_errors=True)
+                remove(job.output)
             if len(jobs) == 1:
                 raise
             log.exception("%s failed", job.inputs)

@@ -99,8 +99,13 @@ def decode(df: DataFrame, kind: str = "tsv", mate: str = "both", span: Span | No
     return records(in_span(df, span or Span()), mate).select("idx", "mate", record_text(kind).alias("record"))
 
 
-def shards(df: DataFrame, n: int, start: int, end: int) -> DataFrame:
-    """Adds ``shard``: n ranges of equal size in order, the last with the rest."""
+def shard_number(n: int, start: int, end: int) -> Column:
+    """Of ``idx``: n ranges of equal size in order, the last with the rest."""
     each = (end - start) // n
     number = F.least(F.expr(f"(idx - {start}) div {each}"), F.lit(n - 1)) if each else F.lit(n - 1)
-    return in_span(df, Span(start, end)).withColumn("shard", number.cast("int"))
+    return number.cast("int")
+
+
+def shards(df: DataFrame, n: int, start: int, end: int) -> DataFrame:
+    """Adds ``shard``."""
+    return in_span(df, Span(start, end)).withColumn("shard", shard_number(n, start, end))

@@ -253,3 +253,24 @@ def test_names():
             parse.encoded_name(bad, "cbq")
     pairs, alone = parse.pair_names(["b_R1.fq", "a_R2.fq", "a_R1.fq", "b_R2.fa", "c.fq"])
     assert pairs == [("a_R1.fq", "a_R2.fq")] and set(alone) == {"b_R1.fq", "b_R2.fa", "c.fq"}
+
+
+def test_named_pipes_wait_for_their_readers(reads, tmp_path):
+    import os
+    import subprocess
+    import threading
+    import time
+
+    base = str(tmp_path / "pipe")
+    names = []
+    server = threading.Thread(target=lambda: names.extend(pipe.serve(reads, 4, base, "tsv")))
+    server.start()
+    want = [f"{base}_{k}_R{m}.tsv" for k in range(2) for m in "12"]
+    for _ in range(300):
+        if all(map(os.path.exists, want)):
+            break
+        time.sleep(0.1)
+    got = [subprocess.run(["cat", x], capture_output=True, text=True, timeout=120).stdout.splitlines() for x in reversed(want)]
+    server.join(120)
+    assert names == want and not any(map(os.path.exists, want))
+    assert sum(map(len, got)) == 2 * reads.count() and got[-1][0].split("\t")[0] == reads.orderBy("idx").first().s_header

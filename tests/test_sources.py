@@ -137,6 +137,9 @@ def test_finding_files(tmp_path):
         files.in_directory(str(tmp_path / "c.txt"))
     (tmp_path / "list").write_text("x.fq\n\ny.txt\nz.fa.gz\n")
     assert files.in_manifest(str(tmp_path / "list")) == (["x.fq", "z.fa.gz"], 1)
+    assert files.in_manifest(f"file://{tmp_path}/list") == (["x.fq", "z.fa.gz"], 1)
+    for depth, paired in ((None, False), (1, False), (2, True)):
+        assert files.in_directory(f"file://{tmp_path}", depth, paired) == [f"file://{x}" for x in files.in_directory(str(tmp_path), depth, paired)]
 
 
 def test_batch_goes_on_after_a_failure(spark, tmp_path):
@@ -201,6 +204,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     run("qc", p("s.cbq"), "-o", p("qc"), "--json")
     assert os.path.exists(p("qc/summary.json"))
     assert sum(int(x) for x in run("pipe", p("s.cbq"), "-p", "4", "-f", "tsv", "-x", "cat {R1} | wc -l").split()) == 60
+    late = ("--span", "61..70")
+    for args in (("decode", p("s.cbq"), "-o", p("z.fa")), ("revcomp", p("s.cbq"), "-o", p("z.cbq")), ("sample", p("s.cbq"), "-F", "0.5", "-o", p("z.cbq")), ("verify", p("s.cbq")), ("qc", p("s.cbq"), "-o", p("z")), ("split", p("s.cbq"), "--file", p("pat.tsv"), "-o", p("z")), ("pipe", p("s.cbq"))):
+        run(*args, *late, code=1)
+    assert not any(os.path.exists(p(z)) for z in ("z", "z.fa", "z.cbq"))
+    assert '"records": 60' in run("info", "--show-headers", p("s.cbq")) and '"s_seq"' in run("info", "--show-headers", p("s.cbq"))
+    run("info", "--show-headers", p("nothing"), code=1)
     run("grep", p("s.cbq"), code=1)
     run("split", p("s.cbq"), "-o", p("no"), code=1)
     run("cat", p("s.cbq"), p("few.cbq"), "-o", p("x.vbq"), code=1)
