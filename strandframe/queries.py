@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +13,12 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import seq as fn
 from strandframe.functions.fuzzy import Fuzzy
-from strandframe.operators import combine, grep, qc, transform, verify
-from strandframe.plans import numbering
+from strandframe.operators import combine, encode, grep, pipe, qc, transform, verify
+from strandframe.plans import numbering, parse
 from strandframe.plans.matching import in_span, search
 from strandframe.plans.parse import Range, Span
 from strandframe.schema import Meta, ReadSet
+from strandframe.sources import files, patterns, sinks, variants
 from strandframe.sources.patterns import Pattern
 
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -98,6 +103,9 @@ _rows("grep_range_anchored", search(["^ATT.A"], within=Range(1)), "regexp_matche
 _rows("grep_header_regex", search(["^r[0-9]*77$"], header=True), "regexp_matches(s_header, '^r[0-9]*77$') OR regexp_matches(x_header, '^r[0-9]*77$')")
 _rows("grep_regex", search(["ACG[AC]TT?G"]), "regexp_matches(s_seq, 'ACG[AC]TT?G') OR regexp_matches(x_seq, 'ACG[AC]TT?G')")
 _rows("grep_regex_end", search(["GAT$"]), "regexp_matches(s_seq, 'GAT$') OR regexp_matches(x_seq, 'GAT$')")
+_rows("grep_header_posix", search(["^r[[:digit:]]{2}[[:alpha:]]?$"], header=True), "regexp_matches(s_header, '^r[0-9]{2}[a-zA-Z]?$')")
+_rows("grep_regex_posix", search(["AC[[:upper:]]{3}TTT[[:^digit:]]A"]), "regexp_matches(s_seq, 'AC[A-Z]{3}TTT[^0-9]A') OR regexp_matches(x_seq, 'AC[A-Z]{3}TTT[^0-9]A')")
+_rows("grep_regex_group", search(["(?P<x>GAT)+TACA"]), "regexp_matches(s_seq, '(GAT)+TACA') OR regexp_matches(x_seq, '(GAT)+TACA')")
 _rows("grep_rc", search(["TGTAATC"], rc=True), _e("GATTACA"))
 _rows("grep_fixed_flag", search(["GATN"], fixed=True), _e("GATN"))
 _rows("grep_span", search(["GAT"], span=Span(100, 5000)), f"{_e('GAT')} AND idx >= 100 AND idx < 5000")
@@ -366,7 +374,7 @@ def _(df):
     return qc.seq_length(df)
 
 
-_DUPS = "dups AS (SELECT s_seq AS sequence, count(*) AS count FROM reads WHERE idx < 100000 AND length(s_seq) > 0 GROUP BY 1)"
+_DUPS = "dups AS (SELECT s_seq AS sequence, count(*) AS count FROM reads WHERE length(s_seq) > 0 GROUP BY 1)"
 _LEVELS = ", ".join(f"({k}, {least}, '{label}')" for k, (least, label) in enumerate(qc.LEVELS))
 
 
@@ -379,12 +387,12 @@ _LEVELS = ", ".join(f"({k}, {least}, '{label}')" for k, (least, label) in enumer
     FROM levels LEFT JOIN by_level USING (k)""",
 )
 def _(df):
-    return qc.duplication_levels(qc.sequence_counts(df))
+    return qc.duplication_levels(qc.sequence_counts(df, sample=0))
 
 
 @_query("qc_overrepresented", f", {_DUPS} SELECT sequence, CAST(count AS BIGINT) AS count, count / (SELECT sum(count) FROM dups) * 100 AS pct FROM dups WHERE count / (SELECT sum(count) FROM dups) * 100 >= 0.015")
 def _(df):
-    return qc.overrepresented(qc.sequence_counts(df), 0.015)
+    return qc.overrepresented(qc.sequence_counts(df, sample=0), 0.015)
 
 
 @_query(
@@ -438,6 +446,189 @@ def _(df):
     return combine.interleaved(df.select("idx", F.col("s_header").alias("header"), F.col("s_seq").alias("seq"), F.col("s_qual").alias("qual")))
 
 
+@_query(
+    "grep_spans_regex",
+    """
+SELECT idx, array_to_string(list_filter(range(0, length(s_seq) - 3), lambda p: regexp_matches(substring(s_seq, CAST(p + 1 AS INTEGER), 4), '^AC[CT]G$')), ',') AS s_starts,
+       array_to_string(list_filter(range(0, length(x_seq) - 3), lambda p: regexp_matches(substring(x_seq, CAST(p + 1 AS INTEGER), 4), '^AC[CT]G$')), ',') AS x_starts
+FROM reads WHERE regexp_matches(s_seq, 'AC[CT]G') OR regexp_matches(x_seq, 'AC[CT]G')
+""",
+)
+def _(df):
+    starts = lambda c: F.concat_ws(",", F.transform(c, lambda x: x["a"].cast("string")))
+    return grep.spans(df, search(["AC[CT]G"])).select("idx", starts("s_spans").alias("s_starts"), starts("x_spans").alias("x_starts"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all tasks can read, as a plain path."""
+    path = re.sub("^file:/+", "/", numbering.shared_path(spark, name))
+    os.makedirs(path)
+    return path
+
+
+_FULL = "idx, s_header, s_seq, s_qual, x_header, x_seq, x_qual"
+_FULL_SQL = f"SELECT {_FULL} FROM reads"
+_FIRST, _FIRST_SQL = ("idx", "s_header", "s_seq", "s_qual"), "SELECT idx, s_header, s_seq, s_qual FROM reads"
+
+
+def _file(name: str, sql: str):
+    """A query that writes the reads as files, with a folder of its own, and reads these."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(spark, reads(spark, sf_dir), _folder(spark, name))
+        SQL[name] = READS_SQL + sql
+        return f
+
+    return add
+
+
+for _end, _zip in (("fq", None), ("fastq.gz", "gzip"), ("fq.zst", "zstd")):
+
+    @_file(f"file_{_end.replace('.', '_')}", _FIRST_SQL)
+    def _(spark, df, folder, end=_end, how=_zip):
+        """FASTQ in one file, split by byte ranges where it isn't compressed."""
+        sinks.write_file(df, f"{folder}/a.{end}", parse.output_format(f"a.{end}", None), "1", parse.compression(f"a.{end}", None))
+        return encode.load(spark, [f"{folder}/a.{end}"], range_bytes=1 << 20).select(*_FIRST)
+
+
+@_file("file_fasta", "SELECT idx, x_header AS s_header, x_seq AS s_seq, CAST(NULL AS VARCHAR) AS s_qual FROM reads")
+def _(spark, df, folder):
+    sinks.write_file(df, f"{folder}/a.fa", "fasta", "2")
+    return encode.load(spark, [f"{folder}/a.fa"]).select(*_FIRST)
+
+
+@_file("file_mates", _FULL_SQL)
+def _(spark, df, folder):
+    """A file for each mate, found in their folder and paired by name."""
+    sinks.write_mates(df, f"{folder}/sample", "fastq")
+    couples, alone = files.pairs(files.in_directory(folder, 1, True))
+    if len(couples) != 1 or alone:
+        raise ValueError(f"expected one pair: {couples}, {alone}")
+    return encode.load(spark, list(couples[0]), "paired").select(*_FULL.split(", "))
+
+
+@_file("file_interleaved", _FULL_SQL)
+def _(spark, df, folder):
+    sinks.write_file(df, f"{folder}/both.fq", "fastq")
+    return encode.load(spark, [f"{folder}/both.fq"], "interleaved").select(*_FULL.split(", "))
+
+
+@_file("file_folder_tsv", "SELECT s_header AS header, s_seq AS seq FROM reads UNION ALL SELECT x_header, x_seq FROM reads")
+def _(spark, df, folder):
+    sinks.write_folder(df, f"{folder}/tsv", "tsv", compression="gzip")
+    cells = F.split("value", "\t")
+    return spark.read.text(f"{folder}/tsv").select(F.get(cells, F.lit(0)).alias("header"), F.get(cells, F.lit(1)).alias("seq"))
+
+
+@_file("file_sam", _FIRST_SQL)
+def _(spark, df, folder):
+    fields = [F.col("s_header"), F.lit("4"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), F.col("s_seq"), F.col("s_qual")]
+    with sinks.opened(f"{folder}/a.sam", None) as out:
+        out.write(b"@HD\tVN:1.6\n")
+        for row in df.orderBy("idx").select(F.concat_ws("\t", *fields).alias("line")).toLocalIterator():
+            out.write(row["line"].encode() + b"\n")
+    return encode.load(spark, [f"{folder}/a.sam"]).select(*_FIRST)
+
+
+@_file("file_manifest", "SELECT path, records FROM (VALUES ('m.fq', (SELECT count(*) FROM reads)), ('n.fa', (SELECT count(*) FROM reads WHERE idx % 2 = 0)), ('o.fq.gz', (SELECT count(*) FROM reads))) t(path, records)")
+def _(spark, df, folder):
+    """Files of a manifest encoded one by one; what it lists besides isn't a read file."""
+    sinks.write_file(df, f"{folder}/m.fq", "fastq", "1")
+    sinks.write_file(df.where("idx % 2 = 0"), f"{folder}/n.fa", "fasta", "2")
+    sinks.write_file(df, f"{folder}/o.fq.gz", "fastq", "2", "gzip")
+    with open(f"{folder}/list", "w", encoding="utf-8") as f:
+        f.write(f"{folder}/m.fq\n\n{folder}/readme.txt\n{folder}/n.fa\n{folder}/o.fq.gz\n")
+    listed, skipped = files.in_manifest(f"{folder}/list")
+    if skipped != 1:
+        raise ValueError(f"{skipped} lines were skipped")
+    done = encode.run(spark, encode.plan_jobs(listed, None, "cbq"), Meta())
+    by = {parse.encoded_name(x, "cbq"): os.path.basename(x) for x in listed}
+    return spark.createDataFrame([(by[path], n["written"]) for path, n in done.items()], "path string, records long")
+
+
+@_file("encode_counts", "SELECT CAST(count(*) FILTER (NOT contains(s_seq, 'N')) AS BIGINT) AS written, CAST(count(*) FILTER (contains(s_seq, 'N')) AS BIGINT) AS skipped FROM reads")
+def _(spark, df, folder):
+    sinks.write_file(df, f"{folder}/a.fq", "fastq", "1")
+    done = encode.run(spark, encode.plan_jobs([f"{folder}/a.fq"], f"{folder}/a.vbq"), Meta("vbq", bits=2), "i")
+    return spark.createDataFrame([(n["written"], n["skipped"]) for n in done.values()], "written long, skipped long")
+
+
+@_file("set_cbq", _FULL_SQL)
+def _(spark, df, folder):
+    variants.write_set(df, f"{folder}/a.cbq", Meta("cbq", True))
+    return variants.read_set(spark, f"{folder}/a.cbq").df.select(*_FULL.split(", "))
+
+
+@_file("set_vbq", "SELECT idx, s_header, replace(s_seq, 'N', 'C') AS s_seq, x_header, x_seq FROM reads")
+def _(spark, df, folder):
+    variants.write_set(df, f"{folder}/a.vbq", Meta("vbq", True, quality=False, bits=2, compressed=False), "c")
+    return variants.read_set(spark, f"{folder}/a.vbq").df
+
+
+@_file("set_bq", "SELECT idx, substring(s_seq, 1, 40) AS s_seq, x_seq FROM reads")
+def _(spark, df, folder):
+    variants.write_set(df.withColumn("s_seq", F.substring("s_seq", 1, 40)), f"{folder}/a.bq", Meta("bq", True))
+    return variants.read_set(spark, f"{folder}/a.bq").df
+
+
+@_file("set_info", "SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) AS BIGINT) AS in_blocks, true AS paired, 'vbq' AS variant FROM reads")
+def _(spark, df, folder):
+    variants.write_set(df, f"{folder}/a.vbq", Meta("vbq", True))
+    x = variants.info(f"{folder}/a.vbq", index=True)
+    return spark.createDataFrame([(x["records"], sum(b["records"] for b in x["index"]), x["paired"], x["variant"])], "records long, in_blocks long, paired boolean, variant string")
+
+
+@_file("set_lengths", "SELECT CAST(length(s_seq) AS BIGINT) AS slen, CAST(length(x_seq) AS BIGINT) AS xlen FROM reads WHERE idx = 0")
+def _(spark, df, folder):
+    return spark.createDataFrame([variants.lengths(df)], "slen long, xlen long")
+
+
+@_file("sample_to_set", "SELECT idx, s_seq, x_seq FROM reads")
+def _(spark, df, folder):
+    """A share of 1 into a set of the same variant."""
+    variants.write_set(transform.sample_fraction(df, 1.0, 7), f"{folder}/a.cbq", Meta("cbq", True))
+    return variants.read_set(spark, f"{folder}/a.cbq").df.select("idx", "s_seq", "x_seq")
+
+
+@_file("pattern_file", f"SELECT idx, s_seq, x_seq FROM reads WHERE {_e('GATTAC')} OR {_e('CCCCC')} OR contains(s_seq, 'TTTTT')")
+def _(spark, df, folder):
+    for name, text in (("a.fa", ">one\nGAT\nTAC\n>two\nCCCCC\n"), ("b.tsv", "p\tTTTTT\n")):
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    given = [*patterns.load(f"{folder}/a.fa"), *patterns.load(f"{folder}/b.tsv", "primary")]
+    return grep.matching(df, search(files=given)).select("idx", "s_seq", "x_seq")
+
+
+@_file("pipe_shards", "SELECT CAST(least(idx // (n // 3), 2) AS INTEGER) AS shard, CAST(count(*) AS VARCHAR) AS output FROM (SELECT idx, count(*) OVER () AS n FROM reads) t GROUP BY 1")
+def _(spark, df, folder):
+    found = pipe.per_shard(df.select(*_FIRST), "cat {} | wc -l", 3, "tsv")
+    return found.select("shard", F.trim(F.regexp_replace("output", "\n", "")).alias("output"))
+
+
+@_file("pipe_once", "SELECT CAST(2 * count(*) AS VARCHAR) AS output FROM reads")
+def _(spark, df, folder):
+    done = pipe.once(df, "cat {R1} {R2} | wc -l", 4, folder, "tsv")
+    return spark.createDataFrame([(done.stdout.strip(),)], "output string")
+
+
+@_file("pipe_readers", "SELECT s_header AS header, s_seq AS seq FROM reads")
+def _(spark, df, folder):
+    """Named pipes with a reader each, here threads; what they get, stored."""
+    def read(path):
+        with open(path, encoding="utf-8") as f, open(f"{path}.txt", "w", encoding="utf-8") as to:
+            shutil.copyfileobj(f, to)
+
+    with pipe.Pipes(df.select(*_FIRST), 2, f"{folder}/p", "tsv") as made:
+        readers = [threading.Thread(target=read, args=(path,)) for path in made.paths.values()]
+        for t in readers:
+            t.start()
+        made.wait()
+        for t in readers:
+            t.join()
+    cells = F.split("value", "\t")
+    return spark.read.text([f"{x}.txt" for x in made.paths.values()]).select(F.get(cells, F.lit(0)).alias("header"), F.get(cells, F.lit(1)).alias("seq"))
+
+
 def documents_header_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header search over texts with letters of several bytes."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
