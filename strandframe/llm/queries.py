@@ -9,7 +9,7 @@ from strandframe.llm.common import scratch_path, table
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op2_token_planes(spark, sf_dir):

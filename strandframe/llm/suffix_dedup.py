@@ -38,13 +38,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import byte_view, fresh, ids_type, slices, stored
 
 LENGTH = 400
+#: Bytes of repeated passages that are reported, though they are too short to be removed: about 50 short words.
+PASSAGE = 240
 GRAM = 16
+#: Keys are broadcast up to this size, in bytes, and what one takes.
+SMALL_BYTES, KEY_BYTES = 64 << 20, 64
 #: Largest offset of zone 0.
 HALF = (LENGTH - GRAM) // 2
 #: Entries of a bucket, about.
@@ -422,25 +426,63 @@ def _ranges(column) -> list[list[tuple[int, int]]]:
     return [union_of([(s["a"], s["b"]) for s in x] if x else []) for x in column.to_pylist()]
 
 
-def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+def _longest_run(spans) -> Column:
+    """The length of the longest range that overlapping or touching spans make."""
+    start = F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("most"))
 
-    Null texts are empty; empty and short texts lose nothing; repeated rows stay and
-    count as separate documents; an empty table gives no rows.
+    def step(acc, x):
+        a, b = F.when(x["a"] <= acc["b"], acc["a"]).otherwise(x["a"]), F.when(x["a"] <= acc["b"], F.greatest(acc["b"], x["b"])).otherwise(x["b"])
+        return F.struct(a.alias("a"), b.alias("b"), F.greatest(acc["most"], b - a).alias("most"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["most"])
+
+
+def nested_spans(docs: DataFrame, length: int, passage: int) -> tuple[DataFrame, DataFrame]:
+    """``repeated_spans`` for ``length`` and for the shorter ``passage``.
+
+    A repeated string of ``length`` bytes is covered by repeated strings of ``passage``
+    bytes, so only texts in which these make a run of that length are looked at again.
+    """
+    short = repeated_spans(docs, passage)
+    keys = stored(short.where(_longest_run(F.col("spans")) >= length).select("key"), "long")
+    if keys.count() * KEY_BYTES <= SMALL_BYTES:
+        keys = F.broadcast(keys)  # its size was just measured; more keys are joined by a shuffle
+    again = docs.select("doc_id", "text").withColumn("_key", _key()).join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    return repeated_spans(stored(again.select("doc_id", "text"), "again"), length), short
+
+
+def dedup_digests(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``passage`` n_passage_bytes.
+
+    n_passage_bytes: how many bytes repeated strings of ``passage`` bytes cover, which
+    shows repeated passages that are too short to be removed. Null texts are empty;
+    empty and short texts lose nothing; repeated rows stay and count as separate
+    documents; an empty table gives no rows.
     """
+    if passage is None:
+        found = repeated_spans(docs, length).withColumnRenamed("spans", "long")
+    elif 2 * GRAM < passage <= length:
+        long, short = nested_spans(docs, length, passage)
+        found = short.withColumnRenamed("spans", "short").join(long.withColumnRenamed("spans", "long"), "key", "left")
+    else:
+        raise ValueError(f"a passage has more than {2 * GRAM} bytes, and at most {length}")
+    wide = docs.select("doc_id", "text", _key().alias("key")).join(found, "key", "left").drop("key")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage_bytes"] if passage else [])]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for text, spans in zip(part.column("text").to_pylist(), _ranges(part.column("_spans")), strict=True):
+                for text, spans in zip(part.column("text").to_pylist(), _ranges(part.column("long")), strict=True):
                     data = (text or "").encode()
                     rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
-                n, removed, count, digest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
+                if passage:
+                    arrays.append(pa.array([sum(b - a for a, b in x) for x in _ranges(part.column("short"))], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names)
 
     schema = f"doc_id {ids_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_spans(docs.select("doc_id", "text"), length)[0].mapInArrow(run, schema)
+    return wide.mapInArrow(run, schema + (", n_passage_bytes long" if passage else ""))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -51,6 +51,20 @@ def test_other_lengths(spark, length):
     assert [tuple(r)[1:] for r in got] == brute.removed(texts, length)
 
 
+@pytest.mark.parametrize(("length", "passage"), [(400, 240), (120, 60), (100, 100)])
+def test_shorter_passages_are_reported(spark, length, passage):
+    texts = repeats(random.Random(length))
+    got = suffix_dedup.dedup_digests(frame(spark, texts), length, passage).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute.removed(texts, length)
+    assert [r.n_passage_bytes for r in got] == [x[1] for x in brute.removed(texts, passage)]
+
+
+def test_passages_longer_than_what_is_removed(spark):
+    for passage in (500, 20):
+        with pytest.raises(ValueError):
+            suffix_dedup.dedup_digests(frame(spark, ["a"]), 400, passage)
+
+
 def test_removed_bytes_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
