@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandframe.plans.numbering import forget
 from strandframe.plans.numbering import shared_path as scratch_path
 from strandframe.plans.numbering import stored
 
-__all__ = ["ASCII_SPACE", "byte_view", "fresh", "ids_type", "scratch_path", "slices", "stored", "table"]
+__all__ = ["ASCII_SPACE", "byte_view", "forget", "fresh", "ids_type", "scratch_path", "slices", "stored", "table"]
 
 #: Code points that separate words everywhere in this subpackage: space and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import byte_view, fresh, ids_type, slices, stored
+from strandframe.llm.common import byte_view, forget, fresh, ids_type, slices, stored
 
 LENGTH = 400
 #: Bytes of repeated passages that are reported, though they are too short to be removed: about 50 short words.
@@ -392,7 +392,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     covered = _merged(runs, buckets, length).union(runs.where("run is null").select("key", "a", "b"))
     whole = texts.where("copies > 1").select("key", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
     pieces = covered.join(whole.select("key"), "key", "left_anti").union(whole)
-    return stored(pieces.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    spans = stored(pieces.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    forget(sampled, texts, entries, shared, found, runs)
+    return spans
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -445,10 +447,14 @@ def nested_spans(docs: DataFrame, length: int, passage: int) -> tuple[DataFrame,
     """
     short = repeated_spans(docs, passage)
     keys = stored(short.where(_longest_run(F.col("spans")) >= length).select("key"), "long")
+    wanted = keys.withColumnRenamed("key", "_key")
     if keys.count() * KEY_BYTES <= SMALL_BYTES:
-        keys = F.broadcast(keys)  # its size was just measured; more keys are joined by a shuffle
-    again = docs.select("doc_id", "text").withColumn("_key", _key()).join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi")
-    return repeated_spans(stored(again.select("doc_id", "text"), "again"), length), short
+        wanted = F.broadcast(wanted)  # its size was just measured; more keys are joined by a shuffle
+    again = docs.select("doc_id", "text").withColumn("_key", _key()).join(wanted, "_key", "left_semi")
+    again = stored(again.select("doc_id", "text"), "again")
+    long = repeated_spans(again, length)
+    forget(keys, again)
+    return long, short
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
