@@ -2,13 +2,13 @@
 
 Every task packs the documents of its input split in their order; nothing is
 shuffled and no document moves. The token stream of a segment may be cut at
-document ends, at sentence ends, and every ``LONG_STEP`` tokens of a sentence that
-is longer. A dynamic program picks the cuts: ``f(j) = min f(i) + padding(i, j) +
+document ends, at sentence ends, and, only where a sentence is longer than
+``max_len``, every ``LONG_STEP`` tokens of it. A dynamic program picks the cuts: ``f(j) = min f(i) + padding(i, j) +
 SEQUENCE_COST + penalty(j)`` over the starts ``i`` at most ``max_len`` tokens before
 ``j``. As the padding is ``max_len - (j - i)``, the best start is the minimum of
 ``f(i) + i`` in a sliding window, which a monotone queue gives in constant time a
-cut. Lengths that are powers of two need no padding; those from ``max_len`` / 4 on are
-tried by lookup.
+cut. Lengths that are powers of two need no padding; those from ``max_len`` / ``POWERS`` on
+are tried by lookup.
 
 A segment is closed at a document end once it holds ``SEGMENT`` tokens. Its last
 window isn't written but carried into the next segment, so that memory is bounded
@@ -30,11 +30,13 @@ from strandframe.llm.common import ids_type, slices
 
 SEGMENT = 1 << 20
 LONG_STEP = 64
+#: Shorter sequences than this part of a whole one aren't made on purpose, even where they need no padding.
+POWERS = 16
 #: In tokens of padding: what another sequence costs, a cut at a sentence end, and one within a sentence.
 SEQUENCE_COST, SENTENCE_CUT, LONG_CUT = 4, 2, 16
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, the last one its end, and the penalty of each.
 
     ends: where documents end; closes: by id, whether it ends a sentence.
@@ -43,10 +45,11 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray) -> tuple[n
     kind[ends - 1] = 2
     at = np.flatnonzero(kind) + 1
     gaps = np.diff(at, prepend=0)
-    long = np.flatnonzero(gaps > LONG_STEP)
+    long = np.flatnonzero(gaps > max_len)
     if len(long):
+        step = min(LONG_STEP, max_len)
         for k in long.tolist():
-            kind[at[k] - gaps[k] + LONG_STEP - 1 : at[k] - 1 : LONG_STEP] = 3
+            kind[at[k] - gaps[k] + step - 1 : at[k] - 1 : step] = 3
         at = np.flatnonzero(kind) + 1
     return at, np.array([0, SENTENCE_CUT, 0, LONG_CUT])[kind[at - 1]]
 
@@ -54,7 +57,7 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray) -> tuple[n
 def best_cuts(at: list[int], penalty: list[int], max_len: int) -> list[int]:
     """The cheapest sequence ends among the cut points; the last point is one."""
     pos = [0, *at]
-    powers = [1 << k for k in range(max_len.bit_length()) if max_len >> 2 <= 1 << k < max_len]
+    powers = [1 << k for k in range(max_len.bit_length()) if max_len <= POWERS << k < POWERS * max_len]
     index = {0: 0}
     cost, came = [0] * len(pos), [0] * len(pos)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, cut), ascending
@@ -110,7 +113,7 @@ class _Segment:
             return [], 0
         ids = np.concatenate([d[3] for d in self.docs])
         ends = np.cumsum([len(d[3]) for d in self.docs])
-        at, penalty = cut_points(ids, ends, closes)
+        at, penalty = cut_points(ids, ends, closes, max_len)
         cuts = best_cuts(at.tolist(), penalty.tolist(), max_len)
         if not last:
             cuts.pop()

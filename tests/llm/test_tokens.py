@@ -221,3 +221,24 @@ def test_cuts_are_the_cheapest():
         cuts = packing.best_cuts(points, penalty, most)
         assert cuts[-1] == points[-1] and all(b - a <= most for a, b in zip([0, *cuts], cuts, strict=False))
         assert cost(cuts) <= best[points[-1]]
+
+
+def test_cuts_within_sentences():
+    """Only sentences that are longer than a sequence are cut, whatever the lengths."""
+    closes = np.array([False, True, False])  # ids: a word, a word that ends a sentence, the end of a document
+    for gaps in ([3, 64, 65, 200, 1024], [1024, 1024], [1025], [5000, 1, 1023], [10]):
+        ids = np.concatenate([[0] * (g - 1) + [1] for g in gaps] + [[2]])
+        at, penalty = packing.cut_points(ids, np.array([len(ids)]), closes, 1024)
+        ends = np.cumsum(gaps).tolist()
+        assert set(ends) <= set(at.tolist()) and at[-1] == len(ids) and np.diff(at, prepend=0).max() <= 1024
+        for p, cost in zip(at.tolist(), penalty.tolist(), strict=True):
+            inside = p not in ends and p != len(ids)
+            assert inside == (cost == packing.LONG_CUT)
+            assert not inside or gaps[np.searchsorted(ends, p)] > 1024
+
+
+def test_short_sequences_without_padding():
+    """A sequence of 64 tokens is made where it saves padding, one of 32 isn't tried."""
+    assert packing.best_cuts([64, 100], [0, 0], 1024) == [100]
+    assert packing.best_cuts([64, 1024 + 64], [0, 0], 1024) == [64, 1088]
+    assert packing.best_cuts([32, 64], [0, 0], 1024) == [64]
