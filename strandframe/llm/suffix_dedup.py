@@ -28,11 +28,19 @@ Equal texts are represented by one of them throughout. Equal suffixes with equal
 parts in one task are known to be repeated at once: the task reports their bytes and
 sends one of them, marked as such. So however often a passage occurs, a bucket gets it
 once from each task. Within a bucket, such entries are merged again.
+
+A core with more than ``HOT`` suffixes isn't dealt whole: its offsets are cut into
+``PARTS`` zones, whose suffixes share longer cores. Those with equal parts are counted by
+digests, so that one of them stands for all; what is left goes to buckets by the longer
+cores. Where even these have more than HOT suffixes, their windows are counted one by one,
+by digests of 128 bits. So a task never holds more than HOT suffixes of a core, but for
+hash collisions, and no suffix is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +61,8 @@ SMALL_BYTES, KEY_BYTES = 64 << 20, 64
 HALF = (LENGTH - GRAM) // 2
 #: Entries of a bucket, about.
 BUCKET = 20_000
+#: Suffixes of a core that are dealt to one bucket, and zones that the offsets of either half are cut into beyond.
+HOT, PARTS = 4096, 8
 #: Bytes of entries after which a task sends its runs.
 RUN_BYTES = 48 << 20
 _OWNER = np.dtype([("key", "V16"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
@@ -83,24 +93,31 @@ def window_anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     return pos, pos - last, pos - first
 
 
-def zone_limits(length: int = LENGTH) -> tuple[tuple[int, int], tuple[int, int]]:
-    """Smallest and largest offset of both zones."""
+@lru_cache
+def zone_limits(length: int = LENGTH) -> tuple[tuple[int, int], ...]:
+    """Smallest and largest offset of the two zones, and of the finer ones that crowded cores are cut into."""
     half = (length - GRAM) // 2
-    return (0, half), (half + 1, length - GRAM)
+    whole = (0, half), (half + 1, length - GRAM)
+    step = -(-(half + 1) // PARTS)
+    return *whole, *((x, min(x + step - 1, high)) for low, high in whole for x in range(low, high + 1, step))
+
+
+def forward(zone: int, length: int = LENGTH) -> bool:
+    """Whether a zone's suffixes are sorted by the bytes from the anchor on."""
+    return zone_limits(length)[zone][1] <= (length - GRAM) // 2
 
 
 def core(data: bytes, zone: int, pos: int, length: int = LENGTH) -> bytes:
     """What all windows of an anchor in a zone share."""
-    (_, top), (low, high) = zone_limits(length)
-    return data[pos : pos + length - top] if zone == 0 else data[pos - low : pos + length - high]
+    low, high = zone_limits(length)[zone]
+    return data[pos - low : pos + length - high]
 
 
 def parts(data: bytes, zone: int, pos: int, length: int = LENGTH) -> tuple[bytes, bytes]:
     """The sorted part of a suffix and the other one, cut to what windows of the zone hold."""
-    (_, top), (low, high) = zone_limits(length)
-    if zone == 0:
-        return data[pos : pos + length], data[max(0, pos - top) : pos][::-1]
-    return data[max(0, pos - high) : pos][::-1], data[pos : pos + length - low]
+    low, high = zone_limits(length)[zone]
+    after, before = data[pos : pos + length - low], data[max(0, pos - high) : pos][::-1]
+    return (after, before) if forward(zone, length) else (before, after)
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -197,6 +214,7 @@ def merge_runs(runs):
 def repeated(zone: int, shared: np.ndarray, others: list[bytes], lo: np.ndarray, hi: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Of sorted entries: which offsets (columns, from the zone's smallest) are of repeated windows."""
     low, high = zone_limits(length)[zone]
+    ahead = forward(zone, length)
     n = len(others)
     order = sorted(range(n), key=others.__getitem__)
     rank = np.empty(n, np.int64)
@@ -207,7 +225,7 @@ def repeated(zone: int, shared: np.ndarray, others: list[bytes], lo: np.ndarray,
         at = np.flatnonzero((lo <= o) & (o <= hi))
         if len(at) < 2:
             continue
-        need, rest = (length - o, o) if zone == 0 else (o, length - o)
+        need, rest = (length - o, o) if ahead else (o, length - o)
         number = np.cumsum(shared < need)[at] * (n + 1) + np.cumsum(beside < rest)[rank[at]]
         by = np.argsort(number, kind="stable")
         same = number[by][1:] == number[by][:-1]
@@ -238,8 +256,8 @@ def _spans(zone: int, group: list[tuple], length: int):
 
 def bucket_spans(zone: int, blobs: list[bytes], length: int = LENGTH, most: int = 1 << 15):
     """Merges the runs of a bucket and yields the spans of whole groups of suffixes with equal cores."""
-    (_, top), (low, _) = zone_limits(length)
-    need = length - top if zone == 0 else low
+    low, high = zone_limits(length)[zone]
+    need = length - high if forward(zone, length) else low
     batch: list[tuple] = []
     group: list[tuple] = []
     places: dict[bytes, int] = {}
@@ -277,7 +295,7 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
     """(key, doc_id, n, zone, pos, lo, hi, hash): the sampled suffixes of texts that are long enough."""
 
     def run(batches):
-        (_, top), (low, _) = zone_limits(length)
+        (_, top), (low, _) = zone_limits(length)[:2]
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 raw, at = byte_view(part.column("text"))
@@ -368,6 +386,74 @@ def _merged(runs: DataFrame, buckets: int, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key binary, a int, b int")
 
 
+def _by_text(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("key", "doc_id").agg(F.collect_list(F.struct("zone", "pos", "lo", "hi", "hash")).alias("found"))
+
+
+def _with_text(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts that suffixes are of, as (text, _key, _d, found)."""
+    right = found.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "found")
+    return docs.select("doc_id", "text", _key().alias("_key")).join(right, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "_key", "_d", "found")
+
+
+def _digested(with_text: DataFrame, length: int, single: bool) -> DataFrame:
+    """Of each suffix: its parts in the finer zones as (key, doc_id, zone, pos, lo, hi, hash, digest), or its single windows as (key, a, digest)."""
+
+    def finer(key, own, data, e):
+        for zone, (low, high) in enumerate(zone_limits(length)[2:], 2):
+            lo, hi = max(low, e["lo"]), min(high, e["hi"])
+            if lo <= hi:
+                first, second = parts(data, zone, e["pos"], length)
+                digest = xxhash.xxh3_128_digest(len(first).to_bytes(4, "little") + first + second)
+                yield key, own, zone, e["pos"], lo, hi, int(np.uint64(xxhash.xxh3_64_intdigest(core(data, zone, e["pos"], length), zone)).view(np.int64)), digest
+
+    def windows(key, own, data, e):
+        for a in range(e["pos"] - e["hi"], e["pos"] - e["lo"] + 1):
+            yield key, a, xxhash.xxh3_128_digest(data[a : a + length])
+
+    names = ["key", "a", "digest"] if single else ["key", "doc_id", "zone", "pos", "lo", "hi", "hash", "digest"]
+    kinds = {"key": pa.binary(), "a": pa.int32(), "digest": pa.binary(), "zone": pa.int8(), "pos": pa.int32(), "lo": pa.int16(), "hi": pa.int16(), "hash": pa.int64()}
+    each = windows if single else finer
+
+    def run(batches):
+        for batch in batches:
+            kind = {**kinds, "doc_id": batch.schema.field("_d").type}
+            for part in slices(batch, "text", 1 << 20):
+                rows = []
+                for text, key, own, found in zip(*(part.column(c).to_pylist() for c in ("text", "_key", "_d", "found")), strict=True):
+                    data = text.encode()
+                    for e in found:
+                        rows += each(key, own, data, e)
+                    if len(rows) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+
+    types = {"key": "binary", "a": "int", "digest": "binary", "doc_id": ids_type(with_text, "_d"), "zone": "tinyint", "pos": "int", "lo": "smallint", "hi": "smallint", "hash": "long"}
+    return with_text.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names))
+
+
+def _of_crowded(docs: DataFrame, entries: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of the suffixes of crowded cores: those that buckets are still to compare, in finer zones, and spans that are known to repeat."""
+    fine = stored(_digested(_with_text(docs, _by_text(entries)), length, False), "fine")
+    columns = entries.columns
+    alike = fine.groupBy("zone", "hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "doc_id", "lo", "hi")).alias("one"))
+    alike = stored(alike, "alike")  # suffixes with equal parts, by one of them
+    whole = fine.join(alike.where("n > 1").select("zone", "hash", "digest"), ["zone", "hash", "digest"])
+    known = whole.select("key", (F.col("pos") - F.col("hi")).cast("int").alias("a"), (F.col("pos") - F.col("lo") + length).cast("int").alias("b"))
+    variants = stored(alike.groupBy("zone", "hash").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    left = stored(alike.join(variants, ["zone", "hash"]).select("zone", "hash", "one.*", "variants"), "left")
+    single = _digested(_with_text(docs, _by_text(left.where(F.col("variants") > HOT))), length, True)
+    single = stored(single, "windows")
+    again = single.groupBy("digest").count().where("count > 1").select("digest")
+    single_known = single.join(stored(again, "again"), "digest").select("key", "a", (F.col("a") + length).alias("b"))
+    finer = stored(left.where(F.col("variants") <= HOT).select(columns), "finer")
+    known = stored(known.union(single_known), "known")
+    forget(fine, alike, variants, left, single)
+    return finer, known
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, spans): by MD5 of a text, the byte ranges [a, b) that repeated strings cover; they may overlap.
 
@@ -380,20 +466,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     one = sampled.alias("s").join(texts.alias("t"), (F.col("s.key") == F.col("t.key")) & F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")))
     entries = one.select("s.key", "s.doc_id", F.explode(F.arrays_zip("s.zone", "s.pos", "s.lo", "s.hi", "s.hash")).alias("e"))
     entries = stored(entries.select("key", "doc_id", "e.*"), "entries")
-    shared = entries.groupBy("zone", "hash").count().where("count > 1").select("zone", "hash")
+    shared = entries.groupBy("zone", "hash").count().where("count > 1")
     shared = stored(shared, "cores")  # so that a core with many suffixes meets it in a join that Spark can split
-    alike = entries.join(shared, ["zone", "hash"])
-    found = stored(alike.groupBy("key", "doc_id").agg(F.collect_list(F.struct("zone", "pos", "lo", "hi", "hash")).alias("found")), "found")
+    alike = entries.join(shared.where(F.col("count") <= HOT), ["zone", "hash"]).select(entries.columns)
+    crowded, known = shared.where(F.col("count") > HOT), None
+    if not crowded.isEmpty():
+        finer, known = _of_crowded(docs, entries.join(crowded, ["zone", "hash"]).select(entries.columns), length)
+        alike = alike.union(finer)
+    found = stored(_by_text(alike), "found")
     n = found.agg(F.sum(F.size("found"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
-    right = found.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "found")
-    with_text = docs.select("doc_id", "text", _key().alias("_key")).join(right, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    runs = stored(_runs(with_text, buckets, length), "runs")
+    runs = stored(_runs(_with_text(docs, found), buckets, length), "runs")
     covered = _merged(runs, buckets, length).union(runs.where("run is null").select("key", "a", "b"))
+    covered = covered if known is None else covered.union(known)
     whole = texts.where("copies > 1").select("key", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
     pieces = covered.join(whole.select("key"), "key", "left_anti").union(whole)
     spans = stored(pieces.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    forget(sampled, texts, entries, shared, found, runs)
+    forget(sampled, texts, entries, shared, found, runs, *([] if known is None else [finer, known]))
     return spans
 
 

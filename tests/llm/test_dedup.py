@@ -130,6 +130,20 @@ def test_run_sizes_do_not_matter(spark, monkeypatch, size):
     assert [tuple(r)[1:] for r in got] == brute.removed(texts)
 
 
+@pytest.mark.parametrize(("hot", "length"), [(1, 400), (1, 60), (3, 400), (5, 240)])
+def test_crowded_cores_are_cut_finer(spark, monkeypatch, hot, length):
+    """A passage with many surroundings: longer and shorter than a window, at the ends of texts, repeated within one."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(hot + length)
+    texts = repeats(rng)
+    passage = words(rng, 120)
+    for size in (length // 2 + 20, length - 1, length, length + 1, length + 30, 2 * length):
+        texts += [words(rng, rng.randint(0, 60)) + passage[:size] + words(rng, rng.randint(0, 60)) for _ in range(4)]
+    texts += [passage, passage + passage, passage[7:], "x" + passage[7:]]
+    got = suffix_dedup.dedup_digests(frame(spark, texts), length).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute.removed(texts, length)
+
+
 def test_anchors_tile_the_windows_and_depend_on_the_window_alone():
     raw = np.frombuffer(words(random.Random(1), 600).encode(), np.uint8)
     pos, lo, hi = suffix_dedup.window_anchors(raw)
