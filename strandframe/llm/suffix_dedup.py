@@ -397,60 +397,78 @@ def _with_text(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _digested(with_text: DataFrame, length: int, single: bool) -> DataFrame:
-    """Of each suffix: its parts in the finer zones as (key, doc_id, zone, pos, lo, hi, hash, digest), or its single windows as (key, a, digest)."""
+    """Of each suffix: its parts in the finer zones as (key, doc_id, zone, pos, lo, hi, hash, digest, n), or its single windows as (key, a, digest, n).
+
+    What a task meets several times it sends once, with the number of times as n; each
+    place of it is then a row without a digest, known to repeat.
+    """
 
     def finer(key, own, data, e):
         for zone, (low, high) in enumerate(zone_limits(length)[2:], 2):
             lo, hi = max(low, e["lo"]), min(high, e["hi"])
             if lo <= hi:
                 first, second = parts(data, zone, e["pos"], length)
-                digest = xxhash.xxh3_128_digest(len(first).to_bytes(4, "little") + first + second)
+                digest = xxhash.xxh3_128_digest(bytes([zone]) + len(first).to_bytes(4, "little") + first + second)
                 yield key, own, zone, e["pos"], lo, hi, int(np.uint64(xxhash.xxh3_64_intdigest(core(data, zone, e["pos"], length), zone)).view(np.int64)), digest
 
     def windows(key, own, data, e):
         for a in range(e["pos"] - e["hi"], e["pos"] - e["lo"] + 1):
             yield key, a, xxhash.xxh3_128_digest(data[a : a + length])
 
-    names = ["key", "a", "digest"] if single else ["key", "doc_id", "zone", "pos", "lo", "hi", "hash", "digest"]
-    kinds = {"key": pa.binary(), "a": pa.int32(), "digest": pa.binary(), "zone": pa.int8(), "pos": pa.int32(), "lo": pa.int16(), "hi": pa.int16(), "hash": pa.int64()}
+    names = ["key", "a", "digest", "n"] if single else ["key", "doc_id", "zone", "pos", "lo", "hi", "hash", "digest", "n"]
+    kinds = {"key": pa.binary(), "a": pa.int32(), "digest": pa.binary(), "zone": pa.int8(), "pos": pa.int32(), "lo": pa.int16(), "hi": pa.int16(), "hash": pa.int64(), "n": pa.int64()}
     each = windows if single else finer
 
     def run(batches):
+        held: dict[bytes, list] = {}
+        places: list[tuple] = []
+
+        def flush(kind):
+            places.extend((*row, n) for row, n in held.values())
+            places.extend((*row[:-1], None, 0) for row, n in held.values() if n > 1)
+            columns = zip(*places, strict=True) if places else [[]] * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, kind[x]) for x, c in zip(names, columns, strict=True)], names)
+            held.clear()
+            places.clear()
+            return made
+
+        kind = kinds
         for batch in batches:
             kind = {**kinds, "doc_id": batch.schema.field("_d").type}
             for part in slices(batch, "text", 1 << 20):
-                rows = []
                 for text, key, own, found in zip(*(part.column(c).to_pylist() for c in ("text", "_key", "_d", "found")), strict=True):
                     data = text.encode()
                     for e in found:
-                        rows += each(key, own, data, e)
-                    if len(rows) >= 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, kind[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+                        for row in each(key, own, data, e):
+                            if (first := held.setdefault(row[-1], [row, 0]))[1]:
+                                places.append((*row[:-1], None, 0))
+                            first[1] += 1
+                        if len(held) + len(places) >= 1 << 16:
+                            yield flush(kind)
+        if held:
+            yield flush(kind)
 
-    types = {"key": "binary", "a": "int", "digest": "binary", "doc_id": ids_type(with_text, "_d"), "zone": "tinyint", "pos": "int", "lo": "smallint", "hi": "smallint", "hash": "long"}
-    return with_text.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names))
+    types = {"key": "binary", "a": "int", "digest": "binary", "doc_id": ids_type(with_text, "_d"), "zone": "tinyint", "pos": "int", "lo": "smallint", "hi": "smallint", "hash": "long", "n": "long"}
+    return with_text.mapInArrow(run, ", ".join(f"{x} {types[x]}" for x in names))
 
 
 def _of_crowded(docs: DataFrame, entries: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Of the suffixes of crowded cores: those that buckets are still to compare, in finer zones, and spans that are known to repeat."""
     fine = stored(_digested(_with_text(docs, _by_text(entries)), length, False), "fine")
     columns = entries.columns
-    alike = fine.groupBy("zone", "hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "doc_id", "lo", "hi")).alias("one"))
+    alike = fine.where("n > 0").groupBy("zone", "hash", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "pos", "doc_id", "lo", "hi")).alias("one"))
     alike = stored(alike, "alike")  # suffixes with equal parts, by one of them
-    whole = fine.join(alike.where("n > 1").select("zone", "hash", "digest"), ["zone", "hash", "digest"])
-    known = whole.select("key", (F.col("pos") - F.col("hi")).cast("int").alias("a"), (F.col("pos") - F.col("lo") + length).cast("int").alias("b"))
+    elsewhere = fine.where("n = 1").join(alike.where("n > 1").select("digest"), "digest", "left_semi")
+    known = fine.where("n = 0").unionByName(elsewhere).select("key", (F.col("pos") - F.col("hi")).cast("int").alias("a"), (F.col("pos") - F.col("lo") + length).cast("int").alias("b"))
     variants = stored(alike.groupBy("zone", "hash").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
     left = stored(alike.join(variants, ["zone", "hash"]).select("zone", "hash", "one.*", "variants"), "left")
     single = _digested(_with_text(docs, _by_text(left.where(F.col("variants") > HOT))), length, True)
     single = stored(single, "windows")
-    again = single.groupBy("digest").count().where("count > 1").select("digest")
-    single_known = single.join(stored(again, "again"), "digest").select("key", "a", (F.col("a") + length).alias("b"))
+    again = stored(single.where("n > 0").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"), "again")
+    single_known = single.where("n = 0").unionByName(single.where("n = 1").join(again, "digest", "left_semi")).select("key", "a", (F.col("a") + length).alias("b"))
     finer = stored(left.where(F.col("variants") <= HOT).select(columns), "finer")
     known = stored(known.union(single_known), "known")
-    forget(fine, alike, variants, left, single)
+    forget(fine, alike, variants, left, single, again)
     return finer, known
 
 
