@@ -1,15 +1,18 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Shingles are of five words. Texts with equal sets are one class. A class has ``BANDS``
-keys, each of the least hashes of its set under ``ROWS`` functions; classes that share
-a key are candidates. Two sets of similarity s share none with probability
-(1 - s**ROWS)**BANDS: 1.1e-6 at s = 0.8, and less above. Every candidate pair that
-could still join two components is compared by its shingles, so no pair below 0.8 links:
-
-1. Each key's classes are compared with the least of them. The components of these
-   links hold groups of close copies together, at a cost in proportion to their size.
-2. Keys that hold classes of several components are compared in full, ``MOST`` classes
-   by ``MOST`` at a time, so that a task's size is bounded.
+Shingles are of five words. Texts with equal sets are one class. They are found by
+SimHash and anchor points of covering codes, as in ``simhash``, with settings for this
+similarity, at which a bit of two fingerprints differs with a probability of 0.15:
+
+1. A class has a fingerprint of ``BITS`` bits, which is cut into ``BLOCKS`` blocks, drawn
+   bits each. A block is covered by perfect codes, the Hamming codes of ``CODES`` bits;
+   its anchor is made of their codewords within the covering radius, of which there is
+   one. Two classes of similarity 0.8 share no anchor with a probability of about 1e-4.
+2. Classes that share an anchor and differ in at most ``RADIUS`` of the first
+   64 * ``CHECKED`` bits link. The components of these links are clusters.
+3. Within a cluster, pairs are compared by their shingles, so none below 0.8 links: all
+   classes with the least of them, and clusters that this leaves in several components
+   in full, ``MOST`` classes by ``MOST`` at a time, so that a task's size is bounded.
 """
 
 from __future__ import annotations
@@ -29,10 +32,19 @@ from strandframe.llm.components import components
 WORDS, SEED = 5, 43
 #: Similarity as a fraction, so that the comparison is exact.
 LEAST = (4, 5)
-ROWS, BANDS = 4, 26
-#: Classes of a key on either side of a comparison in full.
+#: Bits of a fingerprint; its first words of 64 bits, which go with an anchor; differing bits of these that link.
+BITS, CHECKED, RADIUS = 1024, 3, 54
+#: Blocks of a fingerprint, and the lengths of the Hamming codes that cover one.
+BLOCKS, CODES = 128, (15, 7)
+#: Classes whose anchors are dealt to one bucket of a block, about, and that a task sends at once.
+BUCKET, SENT = 50_000, 4096
+#: Classes of an anchor that are compared pair by pair; more are compared from a root on, which skips what is linked.
+FEW = 64
+#: Classes of a cluster on either side of a comparison in full.
 MOST = 256
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64)
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64, dtype=np.uint64)
+_PLACES = np.array([np.random.default_rng((SEED, k)).permutation(BITS)[: sum(CODES)] for k in range(BLOCKS)])
+_VISIT = np.dtype([("anchor", "<u4"), ("key", "<i8"), ("fp", "<u8", CHECKED)])
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -47,14 +59,66 @@ def key_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """The keys of a set; an empty one has none."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(own), 1 << 12):
-        least = np.minimum(least, ((own[a : a + (1 << 12), None] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint64(1))).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashed shingles, as words of 64 bits: a bit is 1 if it is in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, len(own), 255):  # so that the sums of a bit, which are added eight at once, fit a byte
+        x = own[a : a + 255, None] ^ _DRAWN
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
+
+
+def anchors(prints: np.ndarray) -> np.ndarray:
+    """The anchor of each block (columns) of fingerprints (rows)."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").T
+    out = np.zeros((len(prints), BLOCKS), np.uint32)
+    for block, places in enumerate(_PLACES):
+        at = 0
+        for width in CODES:
+            word, syndrome = np.zeros(len(prints), np.uint32), np.zeros(len(prints), np.uint32)
+            for k in range(width):
+                bit = bits[places[at + k]]
+                word |= bit.astype(np.uint32) << np.uint32(k)
+                syndrome ^= bit * np.uint32(k + 1)
+            word ^= np.where(syndrome > 0, np.uint32(1) << (np.maximum(syndrome, 1) - np.uint32(1)), np.uint32(0))  # the codeword within 1
+            out[:, block] |= word << np.uint32(at)
+            at += width
+    return out
+
+
+def links(visits: np.ndarray) -> np.ndarray:
+    """Pairs of keys (columns), of ``_VISIT`` rows, that share an anchor and link; their components are those of all links."""
+    visits = visits[np.argsort(visits["anchor"], kind="stable")]
+    keys, prints = visits["key"], np.ascontiguousarray(visits["fp"])
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(visits["anchor"]) != 0]))
+    sizes = np.diff(np.concatenate([starts, [len(visits)]]))
+
+    def near(a, b):
+        return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= RADIUS
+
+    few = sizes <= FEW
+    after = (np.repeat(starts + sizes, sizes) - np.arange(len(visits)) - 1) * np.repeat(few, sizes)  # members of the group that follow
+    found, at, k = [np.zeros((0, 2), np.int64)], np.flatnonzero(after), 1
+    while len(at):
+        hit = at[near(at, at + k)]
+        found.append(np.stack([keys[hit], keys[hit + k]], axis=1))
+        k += 1
+        at = at[after[at] >= k]
+    for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+        left = np.arange(start, start + size)
+        while len(left):
+            front, left = [int(left[0])], left[1:]
+            while front and len(left):
+                i = front.pop()
+                hit = near(left, [i])
+                found.append(np.stack([np.full(hit.sum(), keys[i]), keys[left[hit]]], axis=1))
+                front += left[hit].tolist()
+                left = left[~hit]
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -93,9 +157,54 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _visits(classes: DataFrame, parts: int) -> DataFrame:
+    """(block, part, visits): rows of ``_VISIT`` of the classes' anchors, by block and part of its anchors."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), SENT):
+                some = batch.slice(a, SENT)
+                prints = np.frombuffer(b"".join(some.column("fp").to_pylist()), np.uint64).reshape(len(some), -1)
+                at = anchors(prints)
+                made = np.empty(len(some), _VISIT)
+                made["key"], made["fp"] = np.asarray(some.column("key")), prints[:, :CHECKED]
+                for block in range(BLOCKS):
+                    made["anchor"] = at[:, block]
+                    part = at[:, block] % parts
+                    order = np.argsort(part, kind="stable")
+                    cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                    rows = [(p, made[order[x:y]].tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                    arrays = [pa.array([block] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "part", "visits"])
+
+    return classes.select("key", "fp").mapInArrow(run, "block int, part int, visits binary")
+
+
+def _near(visits: DataFrame) -> DataFrame:
+    """(a, b) of keys: the links of each block's parts."""
+
+    def run(batches):
+        def flush(held):
+            found = links(np.frombuffer(b"".join(held), _VISIT))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for block, part, rows in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "visits")), strict=True):
+                if (block, part) != now:
+                    if held:
+                        yield flush(held)
+                    now, held = (block, part), []
+                held.append(rows)
+        if held:
+            yield flush(held)
+
+    return visits.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "a long, b long")
+
+
 def _against_least(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    least = shared.groupBy("band").agg(F.min("key").alias("a"))
-    pairs = shared.join(least, "band").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    least = shared.groupBy("cluster").agg(F.min("key").alias("a"))
+    pairs = shared.join(least, "cluster").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text")), "b")
 
     def compare(batches):
@@ -111,10 +220,10 @@ def _against_least(shared: DataFrame, texts: DataFrame) -> DataFrame:
 def _in_full(shared: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     named = shared.where("n > 2").join(found.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = stored(named, "named")
-    several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    several = named.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
     parts = F.ceil(F.col("n") / F.lit(MOST)).cast("int")
-    dealt = named.join(several, "band").withColumn("own", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    groups = dealt.groupBy("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("key", "label"))).alias("members"))
+    dealt = named.join(several, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    groups = dealt.groupBy("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("key", "label"))).alias("members"))
     groups = groups.where(F.size("members") > 1).select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g"])
     each = groups.select("g", F.explode("members").alias("m")).select("g", "m.key", "m.label").join(texts, "key")
     whole = each.groupBy("g").agg(F.collect_list(F.struct("key", "label", "text")).alias("members")).select("members")
@@ -138,8 +247,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 own = [shingles((x or "").encode()) for x in part.column("text").to_pylist()]
-                arrays = [part.column("doc_id"), pa.array([key_of(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "bands"])
+                arrays = [part.column("doc_id"), pa.array([key_of(x) for x in own], pa.int64()), pa.array([fingerprint(x).tobytes() if len(x) else None for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "fp"])
 
     def of_class(batches):
         for batch in batches:
@@ -147,11 +256,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 yield part.filter(pa.array([k == key_of(shingles((x or "").encode())) for k, x in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True)], pa.bool_()))
 
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = stored(own.mapInArrow(sketch, f"doc_id {ids_type(docs)}, key long, bands array<long>"), "sketches")
-    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes")
-    visits = stored(classes.select("key", F.explode("bands").alias("band")), "visits")
-    sizes = visits.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(visits.join(sizes, "band").select("band", "key", "n"), "shared")
+    rows = stored(own.mapInArrow(sketch, f"doc_id {ids_type(docs)}, key long, fp binary"), "sketches")
+    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "classes")
+    prints = classes.where("fp is not null")  # texts without words are one class
+    near = stored(_near(_visits(prints, -(-max(1, prints.count()) // BUCKET))).distinct(), "near")
+    clusters = stored(components(near).select(F.col("label").alias("cluster"), F.col("node").alias("key")), "clusters")
+    shared = stored(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select("cluster", "key", "n"), "shared")
     wanted = shared.select("key").distinct().join(classes.select("key", F.col("least").alias("doc_id")), "key")
     texts = wanted.join(own, "doc_id").select("key", "text").mapInArrow(of_class, "key long, text string")  # a doc_id may repeat with another text
     texts = stored(texts.dropDuplicates(["key"]), "texts")
