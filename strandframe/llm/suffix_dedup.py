@@ -40,7 +40,9 @@ hash collisions, and no suffix is left out.
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,8 @@ BUCKET = 20_000
 HOT, PARTS = 4096, 8
 #: Bytes of entries after which a task sends its runs.
 RUN_BYTES = 48 << 20
+#: Bytes of runs that it sends at once, about.
+SENT_BYTES = 2 << 20
 _OWNER = np.dtype([("key", "V16"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 
 
@@ -206,8 +210,21 @@ def merge_runs(runs):
         heads[best] = following = next(sources[best], None)
         known[best] = following[0] if following is not None else 0
         node = (best + k) // 2
-        while node:
-            best, losers[node] = play(best, losers[node])
+        while node:  # as ``play``, in place
+            other = losers[node]
+            if (y := heads[other]) is not None:
+                swap = True
+                if following is not None:
+                    mine, theirs = known[best], known[other]
+                    if mine != theirs:
+                        swap = mine < theirs
+                    else:
+                        x, z = following[1], y[1]
+                        h = common(x, z, mine)
+                        swap = h < len(x) and (h == len(z) or x[h] > z[h])
+                        known[best if swap else other] = h
+                if swap:
+                    losers[node], best, following = best, other, y
             node //= 2
 
 
@@ -287,6 +304,22 @@ def bucket_spans(zone: int, blobs: list[bytes], length: int = LENGTH, most: int
         yield from _spans(zone, batch, length)
 
 
+def joined(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The ranges [a, b) of each key of 16 bytes, those that overlap or touch as one."""
+    if not len(a):
+        return [], a, b
+    halves = np.ascontiguousarray(keys).view("<u8").reshape(-1, 2)
+    order = np.lexsort((a, halves[:, 1], halves[:, 0]))
+    halves, a, b = halves[order], a[order], b[order]
+    other = np.concatenate([[True], (halves[1:] != halves[:-1]).any(axis=1)])
+    base = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(base | b)  # the farthest end of a key so far
+    first = np.flatnonzero(other | np.concatenate([[True], a[1:] > (reach[:-1] & 0xFFFFFFFF)]))
+    raw = np.ascontiguousarray(halves[first]).tobytes()
+    last = np.concatenate([first[1:], [len(a)]]) - 1
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)], a[first], reach[last] & 0xFFFFFFFF
+
+
 def _key():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
@@ -295,7 +328,7 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
     """(key, doc_id, n, zone, pos, lo, hi, hash): the sampled suffixes of texts that are long enough."""
 
     def run(batches):
-        (_, top), (low, _) = zone_limits(length)[:2]
+        (_, top), (low, high) = zone_limits(length)[:2]
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 raw, at = byte_view(part.column("text"))
@@ -311,7 +344,8 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
                     x = np.where(zone == 0, lo[keep], np.maximum(lo[keep], low))
                     y = np.where(zone == 0, np.minimum(hi[keep], top), hi[keep])
                     digest = xxhash.xxh3_64_intdigest
-                    hashes = np.array([digest(core(data, z, q, length), z) for z, q in zip(zone.tolist(), p.tolist(), strict=True)], np.uint64).view(np.int64)
+                    from_, to = p - np.where(zone == 0, 0, low), p + length - np.where(zone == 0, top, high)  # as ``core``
+                    hashes = np.array([digest(data[c:d], z) for z, c, d in zip(zone.tolist(), from_.tolist(), to.tolist(), strict=True)], np.uint64).view(np.int64)
                     rows.append((hashlib.md5(data).digest(), i, b - a, zone, p.astype(np.int32), x.astype(np.int16), y.astype(np.int16), hashes))
                 if rows:
                     columns = list(zip(*rows, strict=True))
@@ -327,29 +361,47 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
 def _runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """Of (text, _key, found): each task's sorted runs as (bucket, zone, run), and bytes it knows to repeat as (key, a, b)."""
 
+    limits = [(low, high, forward(z, length)) for z, (low, high) in enumerate(zone_limits(length))]
+
     def run(batches):
         held: dict[tuple[int, int], list] = {}
         size = 0
 
         def send():
+            made: list[tuple] = []
+            sent = 0
+            repeats: list[bytes] = []
             for (zone, bucket), entries in sorted(held.items()):
                 blob, known = write_run(entries)
-                yield _row({"bucket": [bucket], "zone": [zone], "run": [blob]})
-                if known:
-                    own = np.frombuffer(b"".join(known), _OWNER)
-                    pos = own["pos"].astype(np.int64)
-                    yield _row({"key": [x.tobytes() for x in own["key"]], "a": pos - own["hi"], "b": pos - own["lo"] + length})
+                made.append((bucket, zone, blob))
+                repeats += known
+                sent += len(blob)
+                if sent >= SENT_BYTES:
+                    yield _row(dict(zip(("bucket", "zone", "run"), zip(*made, strict=True), strict=True)))
+                    made, sent = [], 0
+            if made:
+                yield _row(dict(zip(("bucket", "zone", "run"), zip(*made, strict=True), strict=True)))
+            if repeats:
+                own = np.frombuffer(b"".join(repeats), _OWNER)
+                pos = own["pos"].astype(np.int64)
+                yield _row(dict(zip(("key", "a", "b"), joined(own["key"], pos - own["hi"], pos - own["lo"] + length), strict=True)))
             held.clear()
 
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                for text, key, found in zip(part.column("text"), part.column("_key").to_pylist(), part.column("found"), strict=True):
+                found = part.column("found")
+                counts = found.value_lengths().to_pylist()
+                fields = found.flatten()
+                each = zip(*(fields.field(x).to_pylist() for x in ("zone", "pos", "lo", "hi", "hash")), strict=True)
+                for text, key, n in zip(part.column("text"), part.column("_key").to_pylist(), counts, strict=True):
                     data = text.as_py().encode()
-                    for e in found.as_py():
-                        first, second = parts(data, e["zone"], e["pos"], length)
-                        owner = key + e["pos"].to_bytes(4, "little") + e["lo"].to_bytes(2, "little") + e["hi"].to_bytes(2, "little")
-                        held.setdefault((e["zone"], e["hash"] % buckets), []).append((first, second, owner))
-                        size += len(first) + len(second) + 200
+                    for zone, pos, lo, hi, core_hash in islice(each, n):
+                        low, high, ahead = limits[zone]
+                        after, before = data[pos : pos + length - low], data[max(0, pos - high) : pos][::-1]  # as ``parts``
+                        owner = key + struct.pack("<ihh", pos, lo, hi)
+                        entry = (after, before, owner) if ahead else (before, after, owner)
+                        held.setdefault((zone, core_hash % buckets), []).append(entry)
+                        size += len(after) + len(before) + 200
                     if size >= RUN_BYTES:
                         yield from send()
                         size = 0
@@ -368,19 +420,23 @@ def _merged(runs: DataFrame, buckets: int, length: int) -> DataFrame:
     """(key, a, b): bytes that repeated windows cover, of the sorted runs of each bucket."""
 
     def run(batches):
-        def flush(at, blobs):
-            found = list(bucket_spans(at[1], blobs, length)) if blobs else []
-            columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        def flush():
+            keys, a, b = zip(*found, strict=True) if found else ([], [], [])
+            columns = joined(np.frombuffer(b"".join(keys), "V16"), np.array(a, np.int64), np.array(b, np.int64))
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["key", "a", "b"])
 
-        at, blobs = (0, 0), []
+        at, blobs, found = (0, 0), [], []
         for batch in batches:
             for b, z, blob in zip(batch.column("bucket").to_pylist(), batch.column("zone").to_pylist(), batch.column("run").to_pylist(), strict=True):
                 if (b, z) != at:
-                    yield flush(at, blobs)
+                    found += bucket_spans(at[1], blobs, length)
+                    if len(found) >= 1 << 16:
+                        yield flush()
                     at, blobs = (b, z), []
                 blobs.append(blob)
-        yield flush(at, blobs)
+        found += bucket_spans(at[1], blobs, length)
+        yield flush()
 
     dealt = runs.where("run is not null").select("bucket", "zone", "run").repartition(buckets, "bucket", "zone").sortWithinPartitions("bucket", "zone")
     return dealt.mapInArrow(run, "key binary, a int, b int")
