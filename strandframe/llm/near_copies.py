@@ -9,7 +9,10 @@ similarity, at which a bit of two fingerprints differs with a probability of 0.1
    its anchor is made of their codewords within the covering radius, of which there is
    one. Two classes of similarity 0.8 share no anchor with a probability of about 1e-4.
 2. Classes that share an anchor and differ in at most ``RADIUS`` of the first
-   64 * ``CHECKED`` bits link. The components of these links are clusters.
+   64 * ``CHECKED`` bits link. The components of these links are clusters. Links of the
+   first blocks come first; what they join is one node for the other blocks, which look
+   for links between different nodes only, and each comparison reports every node once, with
+   the least of its component. So a large group isn't linked again by every block.
 3. Within a cluster, pairs are compared by their shingles, so none below 0.8 links: all
    classes with the least of them, and clusters that this leaves in several components
    in full, ``MOST`` classes by ``MOST`` at a time, so that a task's size is bounded.
@@ -36,6 +39,10 @@ LEAST = (4, 5)
 BITS, CHECKED, RADIUS = 1024, 3, 54
 #: Blocks of a fingerprint, and the lengths of the Hamming codes that cover one.
 BLOCKS, CODES = 128, (15, 7)
+#: Blocks whose links are joined before the others are looked at.
+FIRST = 8
+#: Links that a task takes at once to leave the fewest that have their components, about.
+LINKS = 1 << 20
 #: Classes whose anchors are dealt to one bucket of a block, about, and that a task sends at once.
 BUCKET, SENT = 50_000, 4096
 #: Classes of an anchor that are compared pair by pair; more are compared from a root on, which skips what is linked.
@@ -72,11 +79,11 @@ def fingerprint(own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
 
 
-def anchors(prints: np.ndarray) -> np.ndarray:
-    """The anchor of each block (columns) of fingerprints (rows)."""
+def anchors(prints: np.ndarray, blocks: range = range(BLOCKS)) -> np.ndarray:
+    """The anchor of each of some blocks (columns) of fingerprints (rows)."""
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").T
-    out = np.zeros((len(prints), BLOCKS), np.uint32)
-    for block, places in enumerate(_PLACES):
+    out = np.zeros((len(prints), len(blocks)), np.uint32)
+    for column, places in enumerate(_PLACES[blocks.start : blocks.stop]):
         at = 0
         for width in CODES:
             word, syndrome = np.zeros(len(prints), np.uint32), np.zeros(len(prints), np.uint32)
@@ -85,15 +92,36 @@ def anchors(prints: np.ndarray) -> np.ndarray:
                 word |= bit.astype(np.uint32) << np.uint32(k)
                 syndrome ^= bit * np.uint32(k + 1)
             word ^= np.where(syndrome > 0, np.uint32(1) << (np.maximum(syndrome, 1) - np.uint32(1)), np.uint32(0))  # the codeword within 1
-            out[:, block] |= word << np.uint32(at)
+            out[:, column] |= word << np.uint32(at)
             at += width
     return out
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the nodes ``a`` with ``b``: ``root``, the smallest node of each node's component, is changed in place."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != (up := root[root])).any():
+            root[:] = up
+
+
+def stars(keys: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """(smallest key of the component, key) of the nodes that aren't the smallest; ``keys`` ascend."""
+    of = np.flatnonzero(root != np.arange(len(keys)))
+    return np.stack([keys[root[of]], keys[of]], axis=1)
+
+
 def links(visits: np.ndarray) -> np.ndarray:
-    """Pairs of keys (columns), of ``_VISIT`` rows, that share an anchor and link; their components are those of all links."""
+    """Pairs of keys (columns), the least first, of ``_VISIT`` rows: stars whose components are those of all links between rows that share an anchor."""
     visits = visits[np.argsort(visits["anchor"], kind="stable")]
-    keys, prints = visits["key"], np.ascontiguousarray(visits["fp"])
+    prints = np.ascontiguousarray(visits["fp"])
+    keys, node = np.unique(visits["key"], return_inverse=True)
+    root = np.arange(len(keys))
     starts = np.flatnonzero(np.concatenate([[True], np.diff(visits["anchor"]) != 0]))
     sizes = np.diff(np.concatenate([starts, [len(visits)]]))
 
@@ -102,23 +130,34 @@ def links(visits: np.ndarray) -> np.ndarray:
 
     few = sizes <= FEW
     after = (np.repeat(starts + sizes, sizes) - np.arange(len(visits)) - 1) * np.repeat(few, sizes)  # members of the group that follow
-    found, at, k = [np.zeros((0, 2), np.int64)], np.flatnonzero(after), 1
+    at, k = np.flatnonzero(after), 1
     while len(at):
-        hit = at[near(at, at + k)]
-        found.append(np.stack([keys[hit], keys[hit + k]], axis=1))
+        apart = at[root[node[at]] != root[node[at + k]]]
+        hit = apart[near(apart, apart + k)]
+        joined(root, node[hit], node[hit + k])
         k += 1
         at = at[after[at] >= k]
     for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
         left = np.arange(start, start + size)
         while len(left):
-            front, left = [int(left[0])], left[1:]
+            own = root[node[left]] == root[node[left[0]]]
+            front, left = left[own].tolist(), left[~own]
             while front and len(left):
                 i = front.pop()
-                hit = near(left, [i])
-                found.append(np.stack([np.full(hit.sum(), keys[i]), keys[left[hit]]], axis=1))
-                front += left[hit].tolist()
-                left = left[~hit]
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                hit = left[near(left, [i])]
+                joined(root, node[hit], node[[i] * len(hit)])
+                own = root[node[left]] == root[node[i]]
+                front += left[own].tolist()
+                left = left[~own]
+    return stars(keys, root)
+
+
+def thinned(found: np.ndarray) -> np.ndarray:
+    """Stars that have the components of links (columns)."""
+    keys, node = np.unique(found, return_inverse=True)
+    root = np.arange(len(keys))
+    joined(root, *node.reshape(found.shape).T)
+    return stars(keys, root)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,7 +196,22 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _visits(classes: DataFrame, parts: int) -> DataFrame:
+def _columns(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _components(found: DataFrame) -> DataFrame:
+    """``components`` of links (a, b), which are stored, after each task has thinned ``LINKS`` of them, about."""
+
+    def run(batches):
+        found = [np.stack([np.asarray(batch.column(c)) for c in ("a", "b")], axis=1) for batch in batches]
+        yield _columns(thinned(np.concatenate([np.zeros((0, 2), np.int64), *found])))
+
+    parts = -(-max(1, found.count()) // LINKS)
+    return components(found.repartition(parts).mapInArrow(run, "a long, b long"))
+
+
+def _visits(classes: DataFrame, parts: int, blocks: range) -> DataFrame:
     """(block, part, visits): rows of ``_VISIT`` of the classes' anchors, by block and part of its anchors."""
 
     def run(batches):
@@ -165,12 +219,11 @@ def _visits(classes: DataFrame, parts: int) -> DataFrame:
             for a in range(0, len(batch), SENT):
                 some = batch.slice(a, SENT)
                 prints = np.frombuffer(b"".join(some.column("fp").to_pylist()), np.uint64).reshape(len(some), -1)
-                at = anchors(prints)
+                at = anchors(prints, blocks)
                 made = np.empty(len(some), _VISIT)
                 made["key"], made["fp"] = np.asarray(some.column("key")), prints[:, :CHECKED]
-                for block in range(BLOCKS):
-                    made["anchor"] = at[:, block]
-                    part = at[:, block] % parts
+                for block, own in zip(blocks, at.T, strict=True):
+                    made["anchor"], part = own, own % parts
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
                     rows = [(p, made[order[x:y]].tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
@@ -185,8 +238,7 @@ def _near(visits: DataFrame) -> DataFrame:
 
     def run(batches):
         def flush(held):
-            found = links(np.frombuffer(b"".join(held), _VISIT))
-            return pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
+            return _columns(links(np.frombuffer(b"".join(held), _VISIT)))
 
         now, held = None, []
         for batch in batches:
@@ -202,6 +254,19 @@ def _near(visits: DataFrame) -> DataFrame:
     return visits.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "a long, b long")
 
 
+def _clusters(prints: DataFrame) -> DataFrame:
+    """(cluster, key): the components of the links of classes (key, fp), without classes that have none; cluster is the smallest key."""
+    parts = -(-max(1, prints.count()) // BUCKET)
+    near = stored(_near(_visits(prints, parts, range(FIRST))).distinct(), "near")
+    first = _components(near)
+    joined = prints.join(first.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("label", "key").alias("key"), "fp")
+    apart = stored(_near(_visits(joined, parts, range(FIRST, BLOCKS))).distinct(), "near")
+    rest = _components(apart)
+    named = first.join(rest.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "left").select(F.coalesce("cluster", "label").alias("cluster"), F.col("node").alias("key"))
+    new = rest.join(first, "node", "left_anti").select(F.col("label").alias("cluster"), F.col("node").alias("key"))
+    return stored(named.union(new), "clusters")
+
+
 def _against_least(shared: DataFrame, texts: DataFrame) -> DataFrame:
     least = shared.groupBy("cluster").agg(F.min("key").alias("a"))
     pairs = shared.join(least, "cluster").where("a <> key").select("a", F.col("key").alias("b")).distinct()
@@ -259,15 +324,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = stored(own.mapInArrow(sketch, f"doc_id {ids_type(docs)}, key long, fp binary"), "sketches")
     classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "classes")
     prints = classes.where("fp is not null")  # texts without words are one class
-    near = stored(_near(_visits(prints, -(-max(1, prints.count()) // BUCKET))).distinct(), "near")
-    clusters = stored(components(near).select(F.col("label").alias("cluster"), F.col("node").alias("key")), "clusters")
+    clusters = _clusters(prints)
     shared = stored(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select("cluster", "key", "n"), "shared")
     wanted = shared.select("key").distinct().join(classes.select("key", F.col("least").alias("doc_id")), "key")
     texts = wanted.join(own, "doc_id").select("key", "text").mapInArrow(of_class, "key long, text string")  # a doc_id may repeat with another text
     texts = stored(texts.dropDuplicates(["key"]), "texts")
     first = stored(_against_least(shared, texts), "first")
-    rest = stored(_in_full(shared, texts, components(first)), "rest")
-    found = components(first.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = stored(_in_full(shared, texts, _components(first)), "rest")
+    found = _components(first.union(rest))
     ids = found.join(classes.select(F.col("key").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     named = found.join(ids, "label").select(F.col("node").alias("key"), "component_id")
     of = stored(classes.select("key", "least").join(named, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "components")
