@@ -33,7 +33,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return packing.pack(docs, tokens.default_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokens.default_path("byte_bpe_50k.json"), keep=False)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", pack)]

@@ -135,13 +135,14 @@ class _Segment:
         return pieces, len(cuts)
 
 
-def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 0, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids and then ``end_id``; null and empty texts are that one
     id. Repeated rows are packed as often as they occur, other columns are ignored,
     an empty table gives no rows. sequence_id is unique: the number of the task times
     2**33 plus that of the sequence in it. A lost task is packed again alike.
+    keep: whether a Python worker keeps the ids of pieces for its next tasks.
     """
 
     def run(batches):
@@ -170,6 +171,8 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 0) -> Da
                     yield flush(False)
         if segment.docs:
             yield flush(True)
+        if not keep:
+            coder.forget()
 
     schema = f"doc_id {ids_type(docs)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
