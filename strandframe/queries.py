@@ -25,31 +25,32 @@ _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _known: dict[tuple[str, str], str] = {}
 
 
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired reads made of lineitem, in order within each task.
+
+    The sort is over the few numbers that reads are made of, as sorted texts would spill.
+    """
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_KEYS)
+    n = numbering.numbered(t, _KEYS).sortWithinPartitions("idx")
+    text = lambda c: F.col(c).cast("string")
+    two = lambda p, a, q, b: F.concat(F.md5(F.concat(F.lit(p), text(a))), F.md5(F.concat(F.lit(q), text(b))))
+    letters = lambda hashes, n, to: F.translate(F.substring(hashes, F.lit(1), n), "0123456789abcdef", to)
+    n = n.withColumns({"h": F.concat(F.lit("r"), text("idx")), "n": (F.col("l_linenumber") * 3 + 40).cast("int")})
+    bases = letters(two("a", "l_partkey", "b", "l_partkey"), F.col("n"), "ACGTACGTACGTACGN")
+    marks = letters(two("q", "l_orderkey", "p", "l_linenumber"), F.greatest("n", F.lit(40)), "!#5:?ACDEFGHIIII")
+    n = n.withColumns({"s0": bases, "x0": letters(two("c", "l_suppkey", "d", "l_orderkey"), F.lit(40), "ACGTACGTACGTACGT"), "q0": marks})
+    return n.select(
+        "idx", F.col("h").alias("s_header"), F.col("s0").alias("s_seq"), F.substring("q0", F.lit(1), F.col("n")).alias("s_qual"),
+        F.col("h").alias("x_header"), F.col("x0").alias("x_seq"), F.substring("q0", 1, 40).alias("x_qual"),
+    )
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired reads made of lineitem. They are numbered and stored once per session, as an encoded file would be."""
+    """The derived reads. They are numbered and stored once per session, as an encoded file would be."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _known:
-        t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_KEYS)
-        n = numbering.numbered(t, _KEYS)
-        text = lambda c: F.col(c).cast("string")
-        two = lambda p, a, q, b: F.concat(F.md5(F.concat(F.lit(p), text(a))), F.md5(F.concat(F.lit(q), text(b))))
-        digits = "0123456789abcdef"
-        n = n.withColumns(
-            {
-                "s0": F.translate(two("a", "l_partkey", "b", "l_partkey"), digits, "ACGTACGTACGTACGN"),
-                "x0": F.translate(two("c", "l_suppkey", "d", "l_orderkey"), digits, "ACGTACGTACGTACGT"),
-                "q0": F.translate(two("q", "l_orderkey", "p", "l_linenumber"), digits, "!#5:?ACDEFGHIIII"),
-                "h": F.concat(F.lit("r"), text("idx")),
-                "n": (F.col("l_linenumber") * 3 + 40).cast("int"),
-            }
-        )
-        one = F.lit(1)
-        made = n.select(
-            "idx", F.col("h").alias("s_header"), F.substring("s0", one, F.col("n")).alias("s_seq"), F.substring("q0", one, F.col("n")).alias("s_qual"),
-            F.col("h").alias("x_header"), F.substring("x0", 1, 40).alias("x_seq"), F.substring("q0", 1, 40).alias("x_qual"),
-        )
         path = numbering.shared_path(spark, "reads")
-        made.sortWithinPartitions("idx").write.option("compression", "zstd").parquet(path)
+        derived(spark, sf_dir).write.option("compression", "zstd").parquet(path)
         _known[at] = path
     return spark.read.parquet(_known[at])
 
