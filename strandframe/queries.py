@@ -614,7 +614,7 @@ def _(spark, df, folder):
 def _(spark, df, folder):
     """Named pipes with a reader each, here threads; what they get, stored."""
     def read(path):
-        with open(path, encoding="utf-8") as f, open(f"{path}.txt", "w", encoding="utf-8") as to:
+        with open(path, "rb") as f, open(f"{path}.txt", "wb") as to:
             shutil.copyfileobj(f, to)
 
     with pipe.Pipes(df.select(*_FIRST), 2, f"{folder}/p", "tsv") as made:

@@ -1,13 +1,14 @@
 """What large inputs need: nothing wide is sorted, the driver gets no rows, and a task's memory doesn't grow."""
 
 import gzip
+import hashlib
 import random
 
 import pytest
 import zstandard
 
 from strandframe import queries as core
-from strandframe.operators import encode
+from strandframe.operators import encode, pipe
 from strandframe.sources import fastx, sinks
 
 DATA = "/root/testdata/sf0.001"
@@ -68,6 +69,18 @@ def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch, sort):
     assert [(r.s_header, r.s_seq) for r in got] == want and [r.idx for r in got] == list(range(300))
 
 
+def test_shards_are_written_by_all_tasks(spark, monkeypatch, tmp_path):
+    """No task reads a whole shard's rows, and the driver none."""
+    monkeypatch.setattr(sinks.DataFrame, "toLocalIterator", None)
+    _, rows = _fastq(300)
+    out = pipe.per_shard(_table(spark, rows, 3), "cat {} | md5sum", 2, "tsv")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [hashlib.md5("".join(f"{h}\t{s}\n" for _, h, s, _ in rows[a : a + 150]).encode()).hexdigest() for a in (0, 150)]
+    assert [r.output.split()[0] for r in out.orderBy("shard").collect()] == want
+    done = pipe.once(spark.createDataFrame(rows, "idx long, s_header string, s_seq string, s_qual string").repartition(3), "cat {} | md5sum", 2, str(tmp_path), "tsv")
+    assert done.stdout.split()[0] == hashlib.md5("".join(f"{h}\t{s}\n" for _, h, s, _ in rows).encode()).hexdigest()
+
+
 def test_merged_places_are_runs_of_their_own(spark):
     """A task that holds two sorted places of the numbers has a piece for each, and nothing is sorted again."""
     rows = [(i, f"h{i}", "A", "I") for k in (0, 2, 1, 3) for i in range(k * 10_000, k * 10_000 + 10_000)]
