@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import random
 
 import pytest
@@ -89,6 +90,20 @@ def test_merged_places_are_runs_of_their_own(spark):
         assert {0, 20_000, 40_000, 60_000} <= {p.first for p in found} and all(p.last - p.first < 20_000 for p in found)
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 4 << 20])
+@pytest.mark.parametrize(
+    "text",
+    ["@a b\nAC\n+\nII\n@c\n\n+x\n\n@d\nA\n+\n@\n", "@a\nA\n+\nI\n\n@b\r\nAC\r\n+\r\nII\r\n", "@a\nA\n+\nI\n@b\nA\n+\nI", ">a\nAC\n>b\nA\nC\n>c\n>d\n\n>e\nG", ">a\nA\n>b\nC\n>c\nG\n", "\n\n> a \nA \n", "", "@ \nA\n+\nI\n@é\nA\n+\nI\n"],
+)
+def test_cut_records_equal_read_ones(monkeypatch, text, chunk):
+    """By many at once, the same records as one by one, for every place at which a range may end."""
+    monkeypatch.setattr(fastx, "CHUNK", chunk)
+    raw = text.encode()
+    for until in (*range(len(raw) + 1), float("inf")):
+        got = [tuple(r.values())[1:] for b in fastx.record_batches(io.BytesIO(raw), 0, until) for r in b.to_pylist()]
+        assert got == list(fastx.records(io.BytesIO(raw), until))
+
+
 def test_ranges_are_bounded(tmp_path, monkeypatch):
     monkeypatch.setattr(fastx, "MOST_RANGES", 7)
     (tmp_path / "a.fq").write_text("@a\nACG\n+\nIII\n" * 100)
